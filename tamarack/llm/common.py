@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text is handled in blocks of about so many characters, which bounds memory whatever the batch size.
 BLOCK_CHARS = 1 << 20
@@ -74,20 +76,12 @@ def row_key(row_id: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(coded[0], F.lit("\n"), coded[1]).cast("binary")))
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function built once per task: batch -> columns in the schema's order."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    fields = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
-        for batch in batches:
-            if batch.num_rows:
-                for columns in step(batch):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, fields, strict=True)], schema=fields)
-
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` whose workers find this package where the driver has it, installed or not."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = df.sparkSession.sparkContext.environment
+    if home not in (paths := [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]):
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, home])
     return df.mapInArrow(run, schema)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import tokens
-from tamarack.llm.common import strings
+from tamarack.llm.common import map_arrow, strings
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -111,4 +111,4 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", win
             yield flush()
 
     names = [f.split()[0] for f in SCHEMA.split(", ")]
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, SCHEMA)

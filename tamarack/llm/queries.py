@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarack.llm import packing, token_counts
+from tamarack.llm import packing, quality_rules, token_counts
 from tamarack.llm.common import read
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality_rules.train(docs, read(spark, sf_dir, "labels"))
+    return quality_rules.apply(docs, model, columns=["doc_id"])
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -19,7 +25,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op6_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm import tokens
-from tamarack.llm.common import strings
+from tamarack.llm.common import map_arrow, strings
 
 #: Lengths are summed in runs of so many neighbours, and the runs' sums over all runs.
 RUN = 4096
@@ -24,7 +24,7 @@ def lengths(docs: DataFrame, *, text_col: str = "text", tokenizer: str | None =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(list(map(ids.count, strings(batch.column(0)))), pa.int64())], names=["tokens"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "tokens long")
+    return map_arrow(docs.select(F.col(text_col).cast("string")), run, "tokens long")
 
 
 def histogram(docs: DataFrame, **options) -> DataFrame:
