@@ -20,7 +20,9 @@ PASSAGES_AT_ONCE = 2048
 #: Hash buckets of character trigrams; trigrams of CLASSES character classes are counted exactly.
 BUCKETS = 256
 CLASSES = 8
-INPUTS = CLASSES**3 + BUCKETS + 4
+INPUTS = CLASSES**3 + BUCKETS + 5
+#: A trigram found again within so many characters counts as an echo.
+ECHO = 24
 HIDDEN, GATE = 32, 16
 
 #: At most so many labelled rows are fitted on: those of the smallest hashes of their ids.
@@ -55,20 +57,24 @@ def passages(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def features(block: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Square roots of the shares of class trigrams and hashed trigrams, and four shape figures, by passage."""
+    """Square roots of the shares of class trigrams and hashed trigrams, the share of echoes and four shape figures, by passage."""
     rows = len(block)
     classes = np.where(block < 256, _TABLE[np.minimum(block, 255)], np.where(block > 0xFFFF, 7, 0)).astype(np.int64)
     a, b, c = block[:, :-2], block[:, 1:-1], block[:, 2:]
     valid = np.arange(PASSAGE - 2) < (length - 2)[:, None]
     kind = (classes[:, :-2] * CLASSES + classes[:, 1:-1]) * CLASSES + classes[:, 2:]
-    hashed = ((((a * np.uint32(0x9E3779B1)) ^ b) * np.uint32(0x85EBCA77) ^ c) * np.uint32(0xC2B2AE3D)) >> np.uint32(24)
+    mixed = (((a * np.uint32(0x9E3779B1)) ^ b) * np.uint32(0x85EBCA77) ^ c) * np.uint32(0xC2B2AE3D)
+    hashed = mixed >> np.uint32(24)
+    echo = np.zeros(mixed.shape, bool)
+    for lag in range(2, ECHO + 1):
+        echo[:, lag:] |= mixed[:, lag:] == mixed[:, :-lag]
     row = np.arange(rows)[:, None]
     counts = []
     for at, size in ((kind, CLASSES**3), (hashed.astype(np.int64), BUCKETS)):
         counts.append(np.bincount((at + row * size)[valid], minlength=rows * size).reshape(rows, size))
     total = np.maximum(length - 2, 1)[:, None]
     shares = [(n / total).astype(np.float32) for n in counts]
-    shape = np.stack([(shares[1] ** 2).sum(1) * 10, shares[1].max(1) * 4, (counts[1] > 0).mean(1), np.log1p(length) / 8], 1).astype(np.float32)
+    shape = np.stack([(shares[1] ** 2).sum(1) * 10, shares[1].max(1) * 4, (counts[1] > 0).mean(1), np.log1p(length) / 8, 2 * (echo & valid).sum(1) / total[:, 0]], 1).astype(np.float32)
     return np.concatenate([np.sqrt(shares[0]), np.sqrt(shares[1]), shape], 1)
 
 

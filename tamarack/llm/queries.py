@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarack.llm import packing, quality_rules, token_counts
+from tamarack.llm import mil_quality, packing, quality_rules, token_counts
 from tamarack.llm.common import read
 
 
@@ -20,12 +20,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op7_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = mil_quality.train(docs, read(spark, sf_dir, "labels"))
+    return mil_quality.apply(docs, model, columns=["doc_id"])
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.every_limit(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op6_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op6_packing, op7_mil_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
