@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tamarack.llm import mil_quality, packing, quality_rules, token_counts
+from tamarack.llm import chat, mil_quality, packing, quality_rules, token_counts
 from tamarack.llm.common import read
 
 
@@ -16,6 +17,41 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, model, columns=["doc_id"])
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").union(more)
+    back = chat.read_chats(chat.format_chats(rows))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def _op3_sql() -> str:
+    """The same figures from the rows themselves; the template only enters by lengths."""
+    t = chat.Template()
+
+    def coded(column: str) -> str:
+        out = f"replace({column}, '{chat.MARK}', '{chat.MARK}0')"
+        for code, control in zip(chat.CODES, t.controls(), strict=False):
+            out = f"replace({out}, '{control}', '{chat.MARK}{code}')"
+        return f"length({out})"
+
+    head = f"{len(t.open) + 1} + {coded('role')}"
+    return f"""
+WITH r AS (
+  SELECT CAST(conv_id AS BIGINT) conv_id, CAST(turn AS BIGINT) turn, coalesce(role, '') role, coalesce(text, '') text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT *, row_number() OVER w k, lag(role) OVER w before FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) loss_sha256,
+  CAST({len(t.close)} + sum({coded('text')} + CASE WHEN k = 1 THEN {head} WHEN role = before THEN {len(t.join)} ELSE {len(t.close)} + {head} END) AS BIGINT) formatted_chars
+FROM o GROUP BY conv_id"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -31,8 +67,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op6_packing, op7_mil_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_chat, op6_packing, op7_mil_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat": _op3_sql()}
