@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm import tokens
-from tamarack.llm.common import map_arrow, strings
+from tamarack.llm.common import Scratch, map_arrow, strings
 
 #: Lengths are summed in runs of so many neighbours, and the runs' sums over all runs.
 RUN = 4096
@@ -69,7 +69,9 @@ def every_limit(docs: DataFrame, **options) -> DataFrame:
     """
     at: Column = F.col("tokens")
     over = F.col("docs_from") - F.col("docs")
-    return with_suffix_sums(histogram(docs, **options)).select(
+    # written once: both levels of sums read it, and must not encode the documents twice
+    hist = Scratch(docs.sparkSession, "token-counts").cut(histogram(docs, **options), "histogram")
+    return with_suffix_sums(hist).select(
         at.alias("context_limit"),
         F.col("docs").alias("docs_at"),
         over.alias("docs_over"),
