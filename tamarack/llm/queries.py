@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import chat, mil_quality, packing, quality_rules, token_counts
+from tamarack.llm import chat, mil_quality, packing, quality_rules, surrogates, token_counts
 from tamarack.llm.common import read
 
 
@@ -52,6 +52,11 @@ SELECT conv_id, count(*) n_turns,
 FROM o GROUP BY conv_id"""
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, b"tamarack surrogate key")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -67,7 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_chat, op6_packing, op7_mil_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_chat, op4_surrogates, op6_packing, op7_mil_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
