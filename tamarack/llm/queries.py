@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import chat, mil_quality, packing, quality_rules, surrogates, token_counts
+from tamarack.llm import chat, decontaminate, mil_quality, packing, quality_rules, surrogates, token_counts
 from tamarack.llm.common import read
 
 
@@ -57,6 +57,33 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_entities(docs, b"tamarack surrogate key")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "matched", "overlap")
+
+
+def _op5_sql() -> str:
+    """The same windows joined on the kept tokens themselves instead of their hashes."""
+    d = decontaminate
+    words = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x != '')"
+
+    def key(mask: str) -> str:
+        return "concat_ws(' ', " + ", ".join(f"w[p + {k + 1}]" for k, c in enumerate(mask) if c == "1") + ")"
+
+    windows = "\nUNION ALL ".join(f"SELECT *, '{m}' || {key(m)} AS k FROM {{0}}" for m in d.MASKS)
+    return f"""
+WITH t AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT item_id, {words} AS w FROM benchmark),
+tp AS (SELECT doc_id, w, unnest(range(0, len(w) - {d.SPAN - 1})) AS p FROM t WHERE len(w) >= {d.SPAN}),
+bp AS (SELECT item_id, w, unnest(range(0, len(w) - {d.SPAN - 1})) AS p FROM b WHERE len(w) >= {d.SPAN}),
+tw AS ({windows.format("tp")}), bw AS ({windows.format("bp")}),
+hits AS (SELECT DISTINCT tw.doc_id, bw.item_id, tw.w AS tw, bw.w AS bw, tw.p AS ta, bw.p AS ba FROM tw JOIN bw ON tw.k = bw.k),
+around AS (SELECT *, least({d.MARGIN}, ta, ba) AS lo, least({d.SPAN + d.MARGIN}, len(tw) - ta, len(bw) - ba) AS hi FROM hits),
+seen AS (SELECT doc_id, item_id, lo + hi AS overlap, len(bw) AS n, len(list_filter(range(0, lo + hi), lambda i: tw[ta - lo + i + 1] = bw[ba - lo + i + 1])) AS matched FROM around),
+short AS (SELECT tq.doc_id, b.item_id, len(b.w) AS overlap, len(b.w) AS matched FROM b JOIN (SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM t) tq ON len(b.w) BETWEEN 1 AND {d.SPAN - 1} AND tq.w[tq.p + 1 : tq.p + len(b.w)] = b.w),
+every AS (SELECT doc_id, item_id, matched, overlap FROM seen WHERE overlap >= least({d.LEAST_OVERLAP}, n) AND matched >= {d.LEAST_SHARE} * overlap UNION ALL SELECT doc_id, item_id, matched, overlap FROM short)
+SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched, CAST(arg_max(overlap, matched * 100 + overlap) AS BIGINT) AS overlap FROM every GROUP BY doc_id, item_id"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -72,8 +99,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_chat, op4_surrogates, op6_packing, op7_mil_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_chat, op4_surrogates, op5_decontaminate, op6_packing, op7_mil_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": _op3_sql()}
+    return {"op3_chat": _op3_sql(), "op5_decontaminate": _op5_sql()}
