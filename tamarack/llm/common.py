@@ -76,6 +76,18 @@ def row_key(row_id: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(coded[0], F.lit("\n"), coded[1]).cast("binary")))
 
 
+#: Sets of keys of up to so many rows are sent to every task.
+BROADCAST_KEYS = 500_000
+
+
+def keys_for_join(keys: DataFrame) -> DataFrame:
+    """A written table of one key column, to be broadcast if its counted rows are few enough.
+
+    The other side then stays where it is; beyond the bound it is joined by a shuffle.
+    """
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """``mapInArrow`` whose workers find this package where the driver has it, installed or not."""
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import Scratch, row_key
+from tamarack.llm.common import Scratch, keys_for_join, row_key
 
 #: Fixed masks over consecutive tokens: 1 is hashed, 0 may differ. Each starts and ends with 1.
 MASKS = ("110110010111", "101100111011")
@@ -90,7 +90,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
         wanted = F.broadcast(wanted)  # of checked size: rows of four numbers
     placed = _windows(keyed.select("row", words_of(F.col("text")).alias("words")), ["row"], [*MASKS, *["1" * n for n in short]])
     hits = scratch.cut(placed.join(wanted, ["hash", "span"]).select("row", "at", "span", "item_key", "item_at").distinct(), "hits")
-    met = keyed.join(hits.select("row").distinct(), "row", "left_semi").distinct().select("row", "id", words_of(F.col("text")).alias("words"))
+    rows = scratch.cut(hits.select("row").distinct(), "rows")
+    met = keyed.join(keys_for_join(rows), "row", "left_semi").distinct().select("row", "id", words_of(F.col("text")).alias("words"))
     both = hits.join(met, "row").join(items.select("item_key", "item", F.col("words").alias("item_words")), "item_key")
     best = _verified(both).groupBy("row", "id", "item_key", "item").agg(F.max(F.struct("matched", "overlap")).alias("best"))
     return best.select("row", "id", "item", "best.matched", "best.overlap")
@@ -99,5 +100,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
     """``docs`` without the rows that contain a benchmark item; null ids and texts stay."""
     found = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **columns)
-    rows = Scratch(docs.sparkSession, "decontaminate").cut(found.select("row").distinct(), "rows")
-    return docs.withColumn("\x01row", row_key(F.col(id_col), F.col(text_col))).join(rows.withColumnRenamed("row", "\x01row"), "\x01row", "left_anti").select(*docs.columns)
+    rows = Scratch(docs.sparkSession, "decontaminate").cut(found.select(F.col("row").alias("\x01row")).distinct(), "rows")
+    return docs.withColumn("\x01row", row_key(F.col(id_col), F.col(text_col))).join(keys_for_join(rows), "\x01row", "left_anti").select(*docs.columns)
