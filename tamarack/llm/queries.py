@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import chat, decontaminate, mil_quality, packing, quality_rules, surrogates, token_counts
+from tamarack.llm import chat, decontaminate, mil_quality, near_duplicates, packing, quality_rules, surrogates, token_counts
 from tamarack.llm.common import read
 
 
@@ -94,12 +94,17 @@ def op7_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.apply(docs, model, columns=["doc_id"])
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_docs")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.every_limit(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_chat, op4_surrogates, op5_decontaminate, op6_packing, op7_mil_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_chat, op4_surrogates, op5_decontaminate, op6_packing, op7_mil_quality, op9_near_duplicates, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
