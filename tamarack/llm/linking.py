@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import Scratch
+from tamarack.llm.common import Scratch, keys_for_join
 
 #: Groups of up to so many members are compared pair by pair; larger ones around a leader.
 SMALL = 8
@@ -35,7 +35,9 @@ def link(nodes: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame],
     members = nodes.select("node", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     groups = scratch.cut(members.join(shared, "key").select("key", "node", "n", F.lit(True).alias("open")), "groups")
-    verify = prepare(groups.select("node").distinct())
+    candidates = scratch.cut(groups.select("node").distinct(), "candidates")
+    nodes = scratch.cut(nodes.select("node", "subkeys").join(keys_for_join(candidates), "node", "left_semi"), "candidate-subkeys")
+    verify = prepare(candidates)
     links = None
     for _ in range(1000):  # far more levels than there are subkeys to differ in
         few = groups.where(F.col("n") <= small)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import chat, decontaminate, mil_quality, near_duplicates, packing, quality_rules, surrogates, token_counts
+from tamarack.llm import chat, decontaminate, line_dedup, mil_quality, near_duplicates, packing, quality_rules, surrogates, token_counts
 from tamarack.llm.common import read
 
 
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, model, columns=["doc_id"])
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations")
     said = "</s>[INST] ok [/INST]"
@@ -104,7 +108,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_chat, op4_surrogates, op5_decontaminate, op6_packing, op7_mil_quality, op9_near_duplicates, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_chat, op4_surrogates, op5_decontaminate, op6_packing, op7_mil_quality, op9_near_duplicates, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
