@@ -65,6 +65,17 @@ class Scratch:
                 at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_names(existing: list[str], wanted: list[str]) -> list[str]:
+    """Names for added columns: as wanted, with underscores after those that exist already (in any case)."""
+    taken, out = {c.lower() for c in existing}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text; null counts as the empty text."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tamarack.llm.common import map_arrow, strings
+from tamarack.llm.common import free_names, map_arrow, strings
 
 #: Code points of a passage, and how many passages are encoded at once.
 PASSAGE = 512
@@ -174,19 +174,17 @@ def _gradients(w: dict, bags: list[np.ndarray], y: np.ndarray) -> dict:
 ADDED = "held_out boolean, score double, predicted int, passages long, top_attention double"
 
 
-def apply(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, prefix: str = "") -> DataFrame:
+def apply(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """Rows of ``docs`` (only ``columns``, if given) with fold, score, prediction and attention.
 
     score (0 to 1) is that label 1 is likelier; predicted is 1 from POSITIVE_FROM. Null and
     empty texts are one empty passage and get its score. Without a model every score is 0.5.
-    Repeated rows get equal scores; the id is only used for held_out. A column of ``docs``
-    named as an added one raises ValueError; ``prefix`` renames the added.
+    Repeated rows get equal scores; the id is only used for held_out. An added name
+    that exists gets an underscore.
     """
     columns = docs.columns if columns is None else columns
-    added = [f"{prefix}{f}" for f in ADDED.split(", ")]
-    names = [f.split()[0] for f in added]
-    if clash := {c.lower() for c in columns} & {n.lower() for n in names}:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    kinds = [f.split()[1] for f in ADDED.split(", ")]
+    names = free_names(columns, [f.split()[0] for f in ADDED.split(", ")])
     source = docs.select(*[F.col(f"`{c}`") for c in columns], (fold(F.col(id_col)) == 0).alias("\x01held"), F.col(text_col).cast("string").alias("\x01text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: INPUTS x HIDDEN weights
 
@@ -200,5 +198,5 @@ def apply(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
                 names=[*columns, *names],
             )
 
-    schema = StructType([source.schema[k] for k in range(len(columns))] + StructType.fromDDL(", ".join(added)).fields)
+    schema = StructType([source.schema[k] for k in range(len(columns))] + StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))).fields)
     return map_arrow(source, run, schema)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import BLOCK_CHARS, map_arrow, strings
+from tamarack.llm.common import BLOCK_CHARS, free_names, map_arrow, strings
 
 #: Characters that count as symbols (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
@@ -224,19 +224,17 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
 
 
-def apply(docs: DataFrame, model: Model | None, *, text_col: str = "text", columns: list[str] | None = None, prefix: str = "") -> DataFrame:
+def apply(docs: DataFrame, model: Model | None, *, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """Rows of ``docs`` (only ``columns``, if given) with the counts, the probability of good quality and the verdict.
 
     kept is false where the base rules fail, else probability >= LEAST_PROBABILITY; without a
     model (no labels, or one kind only) the base rules alone decide and probability is null.
-    Null texts count as empty: no words, so base_failed. Repeated rows get equal verdicts. A
-    column of ``docs`` named as an added one raises ValueError; ``prefix`` renames the added.
+    Null texts count as empty: no words, so base_failed. Repeated rows get equal verdicts. An
+    added name that exists gets an underscore.
     """
     columns = docs.columns if columns is None else columns
-    added = [f"{prefix}{f}" for f in ADDED.split(", ")]
-    names = [f.split()[0] for f in added]
-    if clash := {c.lower() for c in columns} & {n.lower() for n in names}:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    kinds = [f.split()[1] for f in ADDED.split(", ")]
+    names = free_names(columns, [f.split()[0] for f in ADDED.split(", ")])
     source = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_col).cast("string").alias("\x01text"))
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(model)  # of fixed size: two tables of 2 ** BUCKET_BITS weights
@@ -256,5 +254,5 @@ def apply(docs: DataFrame, model: Model | None, *, text_col: str = "text", colum
 
     from pyspark.sql.types import StructType
 
-    schema = StructType([source.schema[k] for k in range(len(columns))] + StructType.fromDDL(", ".join(added)).fields)
+    schema = StructType([source.schema[k] for k in range(len(columns))] + StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))).fields)
     return map_arrow(source, run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import chat, decontaminate, line_dedup, mil_quality, near_duplicates, packing, quality_rules, surrogates, token_counts
+from tamarack.llm import chat, decontaminate, line_dedup, mil_quality, near_duplicates, packing, quality_rules, surrogates, token_counts, warc_zip
 from tamarack.llm.common import read
 
 
@@ -98,6 +98,19 @@ def op7_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.apply(docs, model, columns=["doc_id"])
 
 
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc_zip.round_trip(read(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _op8_sql() -> str:
+    digits = " || ".join(f"to_base(CAST('0x' || substr(h, {k}, 10) AS BIGINT), 32, 8)" for k in (1, 11, 21, 31))
+    return f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) n, sha1(coalesce(html, '')) h FROM pages),
+d AS (SELECT page_id, n, translate(upper({digits}), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') digest, min(page_id) OVER (PARTITION BY h) first FROM p)
+SELECT page_id, CAST(n AS BIGINT) payload_bytes, digest payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END record_type, CASE WHEN page_id <> first THEN first END refers_to FROM d"""
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_docs")
@@ -107,9 +120,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.every_limit(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_chat, op4_surrogates, op5_decontaminate, op6_packing, op7_mil_quality, op9_near_duplicates, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_chat, op4_surrogates, op5_decontaminate, op6_packing, op7_mil_quality, op8_warc_zip, op9_near_duplicates, op10_token_counts, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": _op3_sql(), "op5_decontaminate": _op5_sql()}
+    return {"op3_chat": _op3_sql(), "op5_decontaminate": _op5_sql(), "op8_warc_zip": _op8_sql()}

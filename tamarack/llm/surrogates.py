@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tamarack.llm.common import Scratch, map_arrow, row_key, strings
+from tamarack.llm.common import Scratch, free_names, map_arrow, row_key, strings
 
 #: Titles that announce a name, by gender (fixed values).
 TITLES = {
@@ -297,11 +297,10 @@ def replace_entities(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", tex
     An entity gets one surrogate wherever it occurs; different entities get different ones;
     the key decides which, and without it they cannot be undone or linked. Format, script,
     gender and validity (check digits, octets) match. Null texts stay null with 0 entities;
-    empty texts, repeated rows and an empty table need nothing special; columns named
-    n_entities or kinds raise ValueError.
+    empty texts, repeated rows and an empty table need nothing special; an added
+    name that exists gets an underscore.
     """
-    if clash := {c.lower() for c in docs.columns} & {"n_entities", "kinds"}:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    added = free_names(docs.columns, ["n_entities", "kinds"])
     scratch = Scratch(docs.sparkSession, "surrogates")
     redrawn = resolve(docs, key, text_col=text_col, scratch=scratch).where("attempt > 0").select("kind", "entity", "attempt")
     few = redrawn.limit(REDRAWN_ROWS + 1).collect()  # bounded: only whether there are more is asked
@@ -338,7 +337,7 @@ def replace_entities(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", tex
                 counts.append(len(spans))
                 kinds.append(",".join(f"{k}:{n}" for k, n in sorted(by.items())))
             columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(kinds, pa.string())], names=[*names, "n_entities", "kinds"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(kinds, pa.string())], names=[*names, *added])
 
-    schema = StructType([*docs.schema.fields, StructField("n_entities", LongType()), StructField("kinds", StringType())])
+    schema = StructType([*docs.schema.fields, StructField(added[0], LongType()), StructField(added[1], StringType())])
     return map_arrow(source, run, schema)
