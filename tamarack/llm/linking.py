@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.common import Scratch, keys_for_join
 
-#: Groups of up to so many members are compared pair by pair; larger ones around a leader.
-SMALL = 8
+#: Groups of up to so many members are compared pair by pair; larger ones around a leader. Each level
+#: takes GROWTH times as many, so that the levels grow with the logarithm of the largest group.
+SMALL, GROWTH = 8, 4
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -30,7 +31,8 @@ def link(nodes: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame],
     differ from it in the same way as their partners; so all members meet again in groups of
     equal subkeys in which they differ from the leader, the same way, until no group has a
     member left that is not linked. Each level adds at most one row per member and subkey.
-    Pairs that a leader already joins are not compared.
+    Pairs that a leader already joins are not compared. The few groups that outlast a level may
+    be larger in the next one.
     """
     members = nodes.select("node", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -39,11 +41,12 @@ def link(nodes: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame],
     nodes = scratch.cut(nodes.select("node", "subkeys").join(keys_for_join(candidates), "node", "left_semi"), "candidate-subkeys")
     verify = prepare(candidates)
     links = None
-    for _ in range(1000):  # far more levels than there are subkeys to differ in
-        few = groups.where(F.col("n") <= small)
+    for level in range(1000):  # far more levels than there are subkeys to differ in
+        most = small * GROWTH**level
+        few = groups.where(F.col("n") <= most)
         x, y = few.select("key", F.col("node").alias("a"), F.col("open").alias("open_a")), few.select("key", F.col("node").alias("b"), F.col("open").alias("open_b"))
         pairs = x.join(y, "key").where("a < b AND (open_a OR open_b)").select("a", "b")
-        many = groups.where(F.col("n") > small)
+        many = groups.where(F.col("n") > most)
         known = groups.groupBy("node").agg(F.sum("n").alias("known"))
         leaders = many.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node", "open")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.open").alias("leader_open"))
         star = many.join(leaders, "key").where("node != leader").groupBy("node", "leader").agg(F.max(F.expr("open OR leader_open")).alias("open"))
