@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import json
 import re
 from typing import Any
 
@@ -57,7 +58,7 @@ class Field:
         return self.python[0](value)
 
     def struct_field(self) -> T.StructField:
-        keep = {k: v for k, v in self.options().items() if isinstance(v, bool | int | float | str | list)}
+        keep = {k: json.dumps(v) if isinstance(v, list) else v for k, v in self.options().items() if isinstance(v, bool | int | float | str | list)}
         return T.StructField(self.name, self.spark_type, self.null, {"kind": type(self).__name__, **keep})
 
     def options(self) -> dict[str, Any]:
@@ -249,7 +250,7 @@ def from_struct_field(column: T.StructField) -> Field:
     kinds = {T.LongType: BigIntegerField, T.IntegerType: IntegerField, T.ShortType: IntegerField, T.ByteType: IntegerField, T.DoubleType: FloatField, T.FloatType: FloatField, T.BooleanType: BooleanField, T.DateType: DateField, T.TimestampType: DateTimeField, T.TimestampNTZType: DateTimeField, T.BinaryType: BinaryField, T.DayTimeIntervalType: DurationField}
     if kind in FIELDS and not issubclass(FIELDS[kind], ForeignKey):
         found = FIELDS[kind]
-        made = found(**{k: v for k, v in column.metadata.items() if k in found.extra or k in _FLAGS})
+        made = found(**{k: v for k, v in (column.metadata | ({"choices": json.loads(column.metadata["choices"])} if "choices" in column.metadata else {})).items() if k in found.extra or k in _FLAGS})
     elif isinstance(column.dataType, T.DecimalType):
         made = DecimalField(max_digits=column.dataType.precision, decimal_places=column.dataType.scale, null=column.nullable)
     else:
