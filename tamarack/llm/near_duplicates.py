@@ -107,7 +107,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def _verifier(keyed: DataFrame, candidates: DataFrame, scratch: Scratch) -> Callable[[DataFrame], DataFrame]:
     """Exact Jaccard similarity of the shingle sets of pairs of candidates, each of which is cut once."""
-    texts = keyed.join(candidates, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
+    texts = keyed.join(keys_for_join(candidates), "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
