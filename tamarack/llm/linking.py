@@ -11,7 +11,7 @@ from tamarack.llm.common import Scratch, keys_for_join
 
 #: Groups of up to so many members are compared pair by pair; larger ones around a leader. Each level
 #: takes GROWTH times as many, so that the levels grow with the logarithm of the largest group.
-SMALL, GROWTH = 8, 4
+SMALL, GROWTH = 8, 8
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

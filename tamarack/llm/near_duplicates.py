@@ -20,7 +20,7 @@ LEAST_SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
 #: Registers per subkey (see linking).
-SUB = 4
+SUB = 6
 #: Characters of the texts whose signatures are drawn together.
 TOGETHER = 1 << 22
 
