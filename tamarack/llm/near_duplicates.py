@@ -22,7 +22,7 @@ REGISTERS = BANDS * ROWS
 #: Registers per subkey (see linking).
 SUB = 6
 #: Characters of the texts whose signatures are drawn together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -75,6 +75,7 @@ def _signatures(keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            del batch
             for a, b in blocks(texts, TOGETHER):
                 kept, sets = [], []
                 for k in range(a, b):
@@ -117,8 +118,10 @@ def _verifier(keyed: DataFrame, candidates: DataFrame, scratch: Scratch) -> Call
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
-            hit = [min(len(x), len(y)) >= LEAST_SIMILARITY * max(len(x), len(y)) and jaccard(x, y) >= LEAST_SIMILARITY for x, y in zip(a, b, strict=True)]
+            hit = []
+            for p, q in zip(batch.column(2), batch.column(3), strict=True):  # one pair at a time
+                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                hit.append(min(len(x), len(y)) >= LEAST_SIMILARITY * max(len(x), len(y)) and jaccard(x, y) >= LEAST_SIMILARITY)
             yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
