@@ -88,11 +88,11 @@ def row_key(row_id: Column, text: Column) -> Column:
 
 
 #: Sets of keys of up to so many rows are sent to every task.
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 1_000_000
 
 
 def keys_for_join(keys: DataFrame) -> DataFrame:
-    """A written table of one key column, to be broadcast if its counted rows are few enough.
+    """A written table of a key, or of a key and a number, to be broadcast if its counted rows are few enough.
 
     The other side then stays where it is; beyond the bound it is joined by a shuffle.
     """

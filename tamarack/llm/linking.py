@@ -35,8 +35,8 @@ def link(nodes: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame],
     be larger in the next one.
     """
     members = nodes.select("node", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    groups = scratch.cut(members.join(shared, "key").select("key", "node", "n", F.lit(True).alias("open")), "groups")
+    shared = scratch.cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    groups = scratch.cut(members.join(keys_for_join(shared), "key").select("key", "node", "n", F.lit(True).alias("open")), "groups")
     candidates = scratch.cut(groups.select("node").distinct(), "candidates")
     nodes = scratch.cut(nodes.select("node", "subkeys").join(keys_for_join(candidates), "node", "left_semi"), "candidate-subkeys")
     verify = prepare(candidates)
