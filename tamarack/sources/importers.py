@@ -82,6 +82,12 @@ def _field(model: str, name: str, call: ast.Call) -> Field | None:
     return found(**options)
 
 
+def write_source(models: list[Model], path: str) -> None:
+    """A Python file that declares the models again."""
+    with open(path, "w", encoding="utf-8") as file:
+        file.write('"""Written from the declared models."""\n\nfrom tamarack.fields import *\nfrom tamarack.model import Model\n\n' + "\n".join(m.to_source() for m in models))
+
+
 def callable_default(value, kind: type[Field]) -> bool:
     """A default such as ``timezone.now`` or ``dict``, which only Django could call."""
     return isinstance(value, str) and str not in kind.python

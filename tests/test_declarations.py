@@ -87,6 +87,19 @@ def test_schema_and_source_round_trip():
     assert all(again.fields[n].same_column(f) for n, f in m.fields.items()) and again.to_source() == m.to_source()
 
 
+def test_written_source_can_be_imported(tmp_path):
+    import importlib.util
+
+    a, b = tk.Model("class", id=tk.IDField(), size=tk.IntegerField(default=3)), tk.Model("pupil", id=tk.IDField(), room=tk.ForeignKey("class", null=True))
+    tk.Registry(a, b)
+    importers.write_source([a, b], str(tmp_path / "made.py"))
+    spec = importlib.util.spec_from_file_location("made", tmp_path / "made.py")
+    made = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(made)
+    tk.Registry(made._class, made.Pupil)
+    assert made._class.fields["size"].default == 3 and made.Pupil.edge("room").target is made._class
+
+
 def test_django():
     made = importers.from_django(
         """
