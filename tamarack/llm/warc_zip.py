@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import struct
 import uuid
@@ -22,7 +23,7 @@ ARCHIVE_BYTES = 256 << 20
 ENTRIES = 2000
 GAP, REQUEST = 64 << 10, 8 << 20
 
-RECORDS = "archive/data.warc"
+RECORDS = "archive/data.warc.gz"
 INDEX = "indexes/index.cdxj"
 
 
@@ -44,7 +45,8 @@ def _record(page: int | None, url: str | None, payload: bytes, digest: str, refe
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Headers (lower-case names), payload as stored, and the payload's full length by its HTTP header."""
+    """Headers (lower-case names), payload as stored, and the payload's full length by its HTTP header, of a record compressed or not."""
+    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -73,7 +75,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
 
     Of the records with equal payloads of at least ``least_bytes`` bytes, that with the smallest
     page id is a response and the others revisit it; smaller payloads are responses. A package
-    holds the stored members ``archive/data.warc`` and ``indexes/index.cdxj``, in that order.
+    holds the stored members ``archive/data.warc.gz``, each record compressed by itself, and ``indexes/index.cdxj``, in that order.
 
     Null html is an empty payload; rows of a null id revisit a row that has one, if they can,
     and are responses else; rows that repeat the smallest id are responses each; an empty table
@@ -108,7 +110,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
                     member = archive.open(RECORDS, "w", force_zip64=True)
                     index, size = [], 0
                     made.append((name, 0))
-                data = _record(page, url, payload, digest, refers_to, kind)
+                data = gzip.compress(_record(page, url, payload, digest, refers_to, kind), 1, mtime=0)
                 member.write(data)
                 index.append(json.dumps({"offset": size, "length": len(data), "page": page}).encode() + b"\n")
                 size += len(data)
