@@ -18,7 +18,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link(nodes: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], scratch: Scratch, *, small: int = SMALL) -> DataFrame:
+def link(nodes: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], scratch: Scratch, *, small: int = SMALL, beyond: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links (a, b) that join all nodes which share a key and pass verification, directly or by others.
 
     ``nodes`` is a written table of distinct ``node`` with ``keys`` (array<long>) and ``subkeys``
@@ -33,6 +33,10 @@ def link(nodes: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame],
     member left that is not linked. Each level adds at most one row per member and subkey.
     Pairs that a leader already joins are not compared. The few groups that outlast a level may
     be larger in the next one.
+
+    Members of a large group may also share only keys in which they agree with the leader; those
+    do not meet again by subkeys. ``beyond`` gets all (node, leader) of the first level, which hold
+    each large group whole, and the links so far, and gives the links with those that are missing.
     """
     members = nodes.select("node", F.explode("keys").alias("key"))
     shared = scratch.cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
@@ -40,7 +44,7 @@ def link(nodes: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame],
     candidates = scratch.cut(groups.select("node").distinct(), "candidates")
     nodes = scratch.cut(nodes.select("node", "subkeys").join(keys_for_join(candidates), "node", "left_semi"), "candidate-subkeys")
     verify = prepare(candidates)
-    links = None
+    links = first = None
     for level in range(1000):  # far more levels than there are subkeys to differ in
         most = small * GROWTH**level
         few = groups.where(F.col("n") <= most)
@@ -55,7 +59,8 @@ def link(nodes: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame],
         made = scratch.cut(verify(_ordered(asked)), "links")
         links = made if links is None else links.union(made)
         if star.isEmpty():
-            return links
+            return beyond(first, links) if beyond and first is not None else links
+        first = star if first is None else first
         tried = star.select("node", "leader", "open", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         told = tried.join(made.withColumn("hit", F.lit(True)), ["a", "b"], "left").select("node", "leader", (F.col("open") & F.col("hit").isNull()).alias("open"))
         own, other = nodes.select("node", F.col("subkeys").alias("own")), nodes.select(F.col("node").alias("leader"), F.col("subkeys").alias("other"))
@@ -64,9 +69,9 @@ def link(nodes: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame],
         again = scratch.cut(again, "members")
         crowded = again.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 AND any").drop("any")
         groups = scratch.cut(again.join(crowded, "key").select("key", "node", "n", "open"), "groups")
-        scratch.drop(star, again)
+        scratch.drop(again, *([] if star is first else [star]))
         if groups.isEmpty():
-            return links
+            return beyond(first, links) if beyond else links
     raise RuntimeError("groups do not come to an end")
 
 

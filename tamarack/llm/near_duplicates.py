@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -106,29 +107,76 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _verifier(keyed: DataFrame, candidates: DataFrame, scratch: Scratch) -> Callable[[DataFrame], DataFrame]:
+def prefix(own: np.ndarray, leader: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, those that the leader lacks before those that it has.
+
+    Sets of similarity LEAST_SIMILARITY share that part of each, so by one order in both
+    their first common shingle is among so many of either.
+    """
+    had = np.isin(own, leader, assume_unique=True)
+    return np.concatenate([own[~had], own[had]])[: len(own) - math.ceil(LEAST_SIMILARITY * len(own) - 1e-9) + 1]
+
+
+class _Verifier:
     """Exact Jaccard similarity of the shingle sets of pairs of candidates, each of which is cut once."""
-    texts = keyed.join(keys_for_join(candidates), "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingles(t)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
+    def __init__(self, keyed: DataFrame, scratch: Scratch):
+        self.keyed, self.scratch = keyed, scratch
 
-    sets = scratch.cut(map_arrow(texts, cut, "node binary, shingles binary"), "shingles")
+    def prepare(self, candidates: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        texts = self.keyed.join(keys_for_join(candidates), "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = []
-            for p, q in zip(batch.column(2), batch.column(3), strict=True):  # one pair at a time
-                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                hit.append(min(len(x), len(y)) >= LEAST_SIMILARITY * max(len(x), len(y)) and jaccard(x, y) >= LEAST_SIMILARITY)
-            yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingles(t)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
+
+        self.sets = self.scratch.cut(map_arrow(texts, cut, "node binary, shingles binary"), "shingles")
+        return self.verify
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = []
+                for p, q in zip(batch.column(2), batch.column(3), strict=True):  # one pair at a time
+                    x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                    hit.append(min(len(x), len(y)) >= LEAST_SIMILARITY * max(len(x), len(y)) and jaccard(x, y) >= LEAST_SIMILARITY)
+                yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
+
+        one, two = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), compare, "a binary, b binary")
 
-    return verify
+    def beyond(self, first: DataFrame, links: DataFrame) -> DataFrame:
+        """The links with all that are missing between components that meet at one leader (an exact prefix-filter join).
+
+        Members that ``links`` join already are not compared, nor are those whose first common
+        shingle stands so late that too few can follow, as where only a passage is shared.
+        """
+        scratch, sets = self.scratch, self.sets
+        roots = components(links, scratch)
+        stars = first.select("node", "leader").union(first.select(F.col("leader").alias("node"), "leader")).distinct()
+        rooted = scratch.cut(stars.join(roots, "node", "left").select("node", "leader", F.coalesce("root", "node").alias("root")), "stars-rooted")
+        parted = lambda rows, by: scratch.cut(rows.groupBy(by).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(by), "parted")
+        apart = rooted.join(keys_for_join(parted(rooted, "leader")), "leader", "left_semi")
+        if apart.isEmpty():
+            return links
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for node, root, leader, p, q in zip(*batch.columns, strict=True):  # one member at a time
+                    x, salt = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(leader.as_buffer(), np.uint64)[:1]
+                    keys = mix(prefix(x, np.frombuffer(q.as_buffer(), np.uint64)) ^ mix(salt))
+                    n = len(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([node.as_py()] * n, pa.binary()), pa.array([root.as_py()] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, len(x), np.int32))], names=["key", "node", "root", "at", "size"])
+
+        both = apart.join(sets, "node").join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("theirs")), "leader")
+        members = scratch.cut(map_arrow(both.select("node", "root", "leader", "shingles", "theirs"), cut, "key long, node binary, root binary, at int, size int"), "prefixes")
+        met = members.join(keys_for_join(parted(members, "key")), "key", "left_semi")
+        x, y = (met.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "at", "size")]) for side in "ab")
+        possible = F.least(F.expr("size_a - at_a"), F.expr("size_b - at_b")) * (1 + LEAST_SIMILARITY) + 1e-6 >= LEAST_SIMILARITY * F.expr("size_a + size_b")
+        pairs = x.join(y, "key").where(F.expr("node_a < node_b AND root_a != root_b") & possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        made = scratch.cut(self.verify(pairs), "links-beyond")
+        scratch.drop(members, rooted)
+        return links.union(made)
 
 
 def _has_words(text: Column) -> Column:
@@ -142,7 +190,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> t
     every = scratch.cut(_signatures(keyed), "signatures")
     nodes = scratch.cut(every.groupBy("node").agg(F.any_value("keys").alias("keys"), F.any_value("subkeys").alias("subkeys")), "nodes")
     scratch.drop(every)
-    roots = components(link(nodes, lambda candidates: _verifier(keyed, candidates, scratch), scratch), scratch)
+    verifier = _Verifier(keyed, scratch)
+    roots = components(link(nodes, verifier.prepare, scratch, beyond=verifier.beyond), scratch)
     rows = source.select(row_key(F.col("id"), F.col("text")).alias("row"), text_key(F.col("text")).alias("node"), "id", _has_words(F.col("text")).alias("worded"))
     rows = scratch.cut(rows, "rows")
     copies = rows.where("worded").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("least"), F.count("*").alias("docs"))

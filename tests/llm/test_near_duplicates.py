@@ -80,6 +80,38 @@ def test_classes_of_large_families(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(by)
 
 
+def around_a_passage(seed, couples, common=110, own=14, kept=1):
+    """Texts around one passage, not similar enough by it; the two of a couple also share part of their own words."""
+    rng = random.Random(seed)
+    say = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    passage, made = say(common), []
+    for _ in range(couples):
+        both = say(kept)
+        made += [" ".join(passage + both + say(own - kept)) for _ in range(2)]
+    return made
+
+
+def test_couples_around_a_common_passage(spark):
+    rows = [(k, t) for k, t in enumerate(t for seed in range(3) for t in around_a_passage(seed, 40))]
+    want = brute(rows)
+    assert len(want) == 120  # couples only
+    by = {}
+    for r in N.near_duplicates(spark.createDataFrame([(*r, "n", 5) for r in rows], SCHEMA)).collect():
+        by.setdefault(r.class_id, []).append(str(r.id))
+    assert sorted(sorted(v) for v in by.values()) == want
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 30), 200, 333]:
+        for _ in range(20):
+            x = np.unique(rng.integers(0, 2**40, n).astype(np.uint64))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(0, 2**40, n // 10).astype(np.uint64)]))
+            if len(y) and N.jaccard(x, y) >= N.LEAST_SIMILARITY:
+                leader = np.unique(np.concatenate([x[: n // 2], y[n // 3 :]]))
+                assert len(np.intersect1d(N.prefix(x, leader), N.prefix(y, leader)))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert N.near_duplicates(df).count() == 0 == N.drop_near_duplicates(df).count()
