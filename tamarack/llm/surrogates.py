@@ -127,10 +127,29 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             part = "last" if k == len(words) - 1 else f"first.{gender}"
             names.append((m.start(2) + w.start(), m.start(2) + w.end(), f"{part}.{script_of(w[0])}", w[0].lower()))
     take(names)
+    if names:
+        take(_bare(rest, names))
     take([(*m.span(1), f"han.{HAN_TITLES[m[2]]}", m[1]) for m in _HAN_NAME.finditer(rest)])
     return sorted(found)
 
 
+def _bare(text: str, names: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Later mentions, without a title, of names found in the same text; single letters and words in lower case are none."""
+    known: dict[str, tuple[int, str]] = {}
+    for _, end, kind, entity in names:
+        if len(entity) > 1:
+            known.setdefault(entity, (end, kind))
+    if not known:
+        return []
+    either = "|".join(map(re.escape, sorted(known, key=lambda e: (-len(e), e))))
+    found = []
+    for m in re.finditer(rf"(?<![^\W_])(?:{either})(?![^\W_])", text, re.IGNORECASE):
+        end, kind = known.get(m[0].lower(), (len(text), ""))
+        if m.start() >= end and not m[0][0].islower():
+            found.append((*m.span(), kind, m[0].lower()))
+    return found
+
+
 class Surrogates:
     """Surrogates under a key. Kinds made of characters go through a keyed permutation of all
     strings of the same pattern (a Feistel network with cycle walking), so different entities
@@ -268,17 +287,17 @@ def _again(rows: DataFrame, key: bytes) -> DataFrame:
 
 
 def resolve(docs: DataFrame, key: bytes, *, text_col: str = "text", scratch: Scratch) -> DataFrame:
-    """kind, entity, surrogate, attempt of every distinct entity, no two of a kind with one surrogate.
+    """kind, entity, surrogate, attempt of every distinct entity, no two of a kind (or first names of a script) with one surrogate.
 
     What shares a surrogate with another entity (all but the first of them), or is its own
-    surrogate, takes its next attempt, until nothing does. First names share a pool and may
-    coincide: who is meant is told by the surname.
+    surrogate, takes its next attempt, until nothing does. First names beyond their pool become
+    words of syllables.
     """
     table = scratch.cut(_entities(docs, text_col, key), "entities")
     while True:
-        meant = table.where(~F.col("kind").startswith("first."))
-        shared = meant.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("keeps"), F.count("*").alias("n")).where("n > 1")
-        crowded = meant.join(shared, ["kind", "surrogate"]).where(F.col("entity") != F.col("keeps.entity")).select("kind", "entity", "attempt")
+        meant = table.withColumn("among", F.regexp_replace("kind", r"^first\.[mfn]\.", "first."))
+        shared = meant.groupBy("among", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("keeps"), F.count("*").alias("n")).where("n > 1")
+        crowded = meant.join(shared, ["among", "surrogate"]).where(F.col("entity") != F.col("keeps.entity")).select("kind", "entity", "attempt")
         own = table.where(F.col("entity") == F.col("surrogate")).select("kind", "entity", "attempt")
         sent_back = scratch.cut(crowded.union(own).distinct(), "sent-back")
         if sent_back.isEmpty():

@@ -65,6 +65,22 @@ def test_distinct_and_coreferent(spark):
     assert next(t for d, t, *_ in got if d == 902).split()[1] == one.upper() != "A@B.CD"
 
 
+def test_first_names_stay_distinct(spark):
+    men = [f"{a}{b}" for a in ("Pa", "Ro", "Ti", "Wu", "Ze") for b in ("bel", "der", "fin", "gor", "ham", "lik")]
+    rows = [(k, f"{title} {first} {last}", "x") for k, (title, first, last) in enumerate([("Mr", m, "Weber") for m in men] + [("Mrs", f"{m}a", "Weber") for m in men] + [("Dr", a, "Νικου") for a in ("Ανα", "Βενα", "Γινα", "Δανα", "Ευα")])]
+    got = [r.text.split(" ", 1)[1] for r in S.replace_entities(frame(spark, rows), b"key").collect()]
+    assert len(set(got)) == len(rows) and not {g.split()[0] for g in got} & {r[1].split()[1] for r in rows}
+
+
+def test_later_bare_mentions(spark):
+    text = "Weber? Mr. Paul Weber came. Later Weber's friend met WEBER, Paul and a weber, Weberman."
+    assert [(w, k) for w, k in kinds(text)] == [("Paul", "first.m.latin"), ("Weber", "last.latin"), ("Weber", "last.latin"), ("WEBER", "last.latin"), ("Paul", "first.m.latin")]
+    assert kinds("Mr. A came. A day") == [("A", "last.latin")]
+    said = S.replace_entities(frame(spark, [(1, text, "x")]), b"key").first().text
+    first, last = said.split()[2:4]
+    assert said == f"Weber? Mr. {first} {last} came. Later {last}'s friend met {last.upper()}, {first} and a weber, Weberman."
+
+
 def test_many_redrawn_go_by_a_join(spark, monkeypatch):
     few = [(k, f"Mr. {'ABCDEFGHKLMNOPRSTUVW'[k % 20]}{'aeiou'[k // 20 % 5]} of {k}", "x") for k in range(100)]  # short names: many meet
     rows = frame(spark, few)
