@@ -19,13 +19,15 @@ BLOCK_CHARS = 1 << 20
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (local tests) a temporary folder is made and set.
+    Only where a local session has none (tests) a temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tamarack-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -87,16 +89,17 @@ def row_key(row_id: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(coded[0], F.lit("\n"), coded[1]).cast("binary")))
 
 
-#: Sets of keys of up to so many rows are sent to every task.
-BROADCAST_KEYS = 1_000_000
+#: Sets of keys are sent to every task up to so many bytes there: a long takes about 48, anything else about 160.
+BROADCAST_BYTES = 48 << 20
 
 
 def keys_for_join(keys: DataFrame) -> DataFrame:
-    """A written table of a key, or of a key and a number, to be broadcast if its counted rows are few enough.
+    """A written table of a key, or of a key and fixed-width columns, to be broadcast if its counted rows are few enough.
 
     The other side then stays where it is; beyond the bound it is joined by a shuffle.
     """
-    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+    most = BROADCAST_BYTES // (48 if keys.dtypes == [(keys.columns[0], "bigint")] else 160)
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:

@@ -1,78 +1,77 @@
-"""Candidate pairs from shared keys without all pairs of a group, and connected components."""
+"""Links between rows that share a key, without all pairs of a group, and connected components."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import Scratch, keys_for_join
 
-#: Groups of up to so many members are compared pair by pair; larger ones around a leader. Each level
-#: takes GROWTH times as many, so that the levels grow with the logarithm of the largest group.
-SMALL, GROWTH = 8, 8
+#: Open groups of up to so many members are compared pair by pair, where they are not joined yet.
+SMALL = 256
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def shared_members(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Written table of key, node and size: each node under each of its keys that another node has too.
 
+    ``nodes`` is a written table of ``node``, ``size`` and ``keys`` (array<long>); rows of one
+    node may repeat. Whether a key is shared is found from fixed-width numbers, which are
+    aggregated before the shuffle.
+    """
+    rows = nodes.select(F.explode("keys").alias("key"), "node", "size")
+    mark = F.xxhash64("node")
+    shared = rows.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low != high").select("key")
+    shared = scratch.cut(shared, "shared")
+    members = scratch.cut(rows.join(keys_for_join(shared), "key").distinct().select("key", "node", "size"), "members")
+    scratch.drop(shared)
+    return members
+
+
+def _fits(least: float) -> Column:
+    """Sizes that a similarity of ``least`` allows."""
+    return F.least("size_a", "size_b") + F.lit(1e-6) >= F.lit(least) * F.greatest("size_a", "size_b")
 
-def link(nodes: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], scratch: Scratch, *, small: int = SMALL, beyond: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+
+def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], scratch: Scratch, *, least: float, beyond: Callable[..., DataFrame], small: int = SMALL) -> DataFrame:
     """Links (a, b) that join all nodes which share a key and pass verification, directly or by others.
 
-    ``nodes`` is a written table of distinct ``node`` with ``keys`` (array<long>) and ``subkeys``
-    (array<int>, one length). ``prepare`` gets the nodes that share any key and gives a function
-    from pairs (a, b) to those of them that are links.
-
-    The pairs of a group of many members grow with its square, so a large group is compared with
-    one leader: the member that shares the most keys with others, which in a family of
-    copies is the one the others were made from. Members whose links do not go by the leader
-    differ from it in the same way as their partners; so all members meet again in groups of
-    equal subkeys in which they differ from the leader, the same way, until no group has a
-    member left that is not linked. Each level adds at most one row per member and subkey.
-    Pairs that a leader already joins are not compared. The few groups that outlast a level may
-    be larger in the next one.
-
-    Members of a large group may also share only keys in which they agree with the leader; those
-    do not meet again by subkeys. ``beyond`` gets all (node, leader) of the first level, which hold
-    each large group whole, and the links so far, and gives the links with those that are missing.
+    ``members`` are those of :func:`shared_members`. ``prepare`` gets the nodes that may be compared
+    and gives a function from pairs (a, b) to those of them that are links. A pair whose sizes
+    differ by more than ``least`` allows is no link.
+
+    First every member is compared with one leader of its group, that which shares the most keys
+    with others: one pair a member. A group that this joins as a whole is done, as families of
+    copies mostly are. In a group that stays open, members of different components are compared:
+    pair by pair up to ``small`` members, so the work is at most ``small`` pairs a member; in
+    larger groups as ``beyond(groups, members, verify)`` says, which gets all members of the open
+    large groups (key, node, size, root, leader) and gives links between different roots.
     """
-    members = nodes.select("node", F.explode("keys").alias("key"))
-    shared = scratch.cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    groups = scratch.cut(members.join(keys_for_join(shared), "key").select("key", "node", "n", F.lit(True).alias("open")), "groups")
-    candidates = scratch.cut(groups.select("node").distinct(), "candidates")
-    nodes = scratch.cut(nodes.select("node", "subkeys").join(keys_for_join(candidates), "node", "left_semi"), "candidate-subkeys")
-    verify = prepare(candidates)
-    links = first = None
-    for level in range(1000):  # far more levels than there are subkeys to differ in
-        most = small * GROWTH**level
-        few = groups.where(F.col("n") <= most)
-        x, y = few.select("key", F.col("node").alias("a"), F.col("open").alias("open_a")), few.select("key", F.col("node").alias("b"), F.col("open").alias("open_b"))
-        pairs = x.join(y, "key").where("a < b AND (open_a OR open_b)").select("a", "b")
-        many = groups.where(F.col("n") > most)
-        known = groups.groupBy("node").agg(F.sum("n").alias("known"))
-        leaders = many.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node", "open")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.open").alias("leader_open"))
-        star = many.join(leaders, "key").where("node != leader").groupBy("node", "leader").agg(F.max(F.expr("open OR leader_open")).alias("open"))
-        star = scratch.cut(star, "stars")
-        asked = pairs.union(star.where("open").select(F.col("node").alias("a"), F.col("leader").alias("b")))
-        made = scratch.cut(verify(_ordered(asked)), "links")
-        links = made if links is None else links.union(made)
-        if star.isEmpty():
-            return beyond(first, links) if beyond and first is not None else links
-        first = star if first is None else first
-        tried = star.select("node", "leader", "open", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        told = tried.join(made.withColumn("hit", F.lit(True)), ["a", "b"], "left").select("node", "leader", (F.col("open") & F.col("hit").isNull()).alias("open"))
-        own, other = nodes.select("node", F.col("subkeys").alias("own")), nodes.select(F.col("node").alias("leader"), F.col("subkeys").alias("other"))
-        differ = F.filter(F.transform("own", lambda s, k: F.when(s != F.get("other", k), F.xxhash64("leader", k, s))), lambda h: h.isNotNull())
-        again = told.join(own, "node").join(other, "leader").select("node", "open", F.explode_outer(differ).alias("key")).where("key IS NOT NULL").groupBy("key", "node").agg(F.max("open").alias("open"))
-        again = scratch.cut(again, "members")
-        crowded = again.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 AND any").drop("any")
-        groups = scratch.cut(again.join(crowded, "key").select("key", "node", "n", "open"), "groups")
-        scratch.drop(again, *([] if star is first else [star]))
-        if groups.isEmpty():
-            return beyond(first, links) if beyond else links
-    raise RuntimeError("groups do not come to an end")
+    known = members.groupBy("node").agg(F.count("*").alias("known"))
+    best = members.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node", "size")).alias("l"), F.count("*").alias("n"))
+    leaders = scratch.cut(best.select("key", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size"), "n"), "leaders")
+    led = members.join(leaders, "key")
+    star = led.where("node != leader").select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("leader").alias("b"), F.col("leader_size").alias("size_b"))
+    star = scratch.cut(star.where(_fits(least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+    asked = led.where("n > 2").select("node").union(star.select("a")).union(star.select("b")).distinct()
+    verify = prepare(scratch.cut(asked, "candidates"))
+    links = scratch.cut(verify(star), "links")
+    roots = components(links, scratch)
+    rooted = led.where("n > 2").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"), "leader", "n")
+    rooted = scratch.cut(rooted, "rooted")
+    mark = F.xxhash64("root")
+    opened = rooted.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low != high").select("key")
+    opened = rooted.join(keys_for_join(scratch.cut(opened, "open")), "key", "left_semi")
+    x, y = (opened.where((F.col("n") <= small) & (F.col("node") != F.col("leader"))).select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "root")]) for side in "ab")
+    pairs = x.join(y, "key").where(F.expr("node_a < node_b AND root_a != root_b") & _fits(least)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    more = scratch.cut(verify(scratch.cut(pairs, "pairs")), "links-small")
+    links = links.union(more)
+    large = scratch.cut(opened.where(F.col("n") > small).drop("n"), "open-large")
+    if not large.isEmpty():
+        links = links.union(scratch.cut(beyond(large, members, verify), "links-large"))
+    scratch.drop(leaders, star, rooted, roots)
+    return links
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -92,4 +91,5 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         labels = jumped.select("node", "root")
         labels.scratch_path = jumped.scratch_path
         if jumped.where("root != was").isEmpty():
+            scratch.drop(edges)
             return labels

@@ -11,17 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import Scratch, blocks, keys_for_join, map_arrow, row_key, text_key
-from tamarack.llm.linking import components, link
+from tamarack.llm.linking import SMALL, components, link, shared_members
 from tamarack.llm.quality_rules import windows_hash, word_hashes
 
 #: Words of a shingle, and the Jaccard similarity of two documents' shingle sets from which they are linked.
 SHINGLE = 5
 LEAST_SIMILARITY = 0.8
-#: Registers of a signature, in bands of ROWS: a pair of similarity 0.8 shares a band with probability 0.9993.
-BANDS, ROWS = 24, 6
+#: Registers of a signature, in bands of ROWS. A pair that agrees in a share s of its registers (its probability Jaccard similarity) shares a
+#: band with probability 1 - (1 - s ** ROWS) ** BANDS: over 0.9999 at 0.8. Where shingles repeat in one text only, s falls below the similarity of
+#: the sets that is verified; at 0.64 (half of the shingles 20 times in one of two texts of set similarity 0.8) it is still 0.96.
+BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
-#: Registers per subkey (see linking).
-SUB = 6
 #: Characters of the texts whose signatures are drawn together.
 TOGETHER = 1 << 20
 
@@ -70,7 +70,7 @@ def prob_min_hash(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = RE
 
 
 def _signatures(keyed: DataFrame) -> DataFrame:
-    """node, keys (a hash per band) and subkeys of each text with a word."""
+    """node, size (different shingles) and keys (a hash per band) of each text with a word."""
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _A)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,12 +88,9 @@ def _signatures(keyed: DataFrame) -> DataFrame:
                 keys = np.tile(salt, (len(kept), 1))
                 for r in range(ROWS):
                     keys = mix(keys ^ won[:, r::ROWS]) if len(kept) else keys
-                subs = np.zeros((len(kept), REGISTERS // SUB), np.uint64)
-                for r in range(SUB):
-                    subs = mix(subs ^ won[:, r::SUB]) if len(kept) else subs
-                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), _lists(keys.view(np.int64), pa.int64()), _lists((subs >> np.uint64(33)).astype(np.int32), pa.int32())], names=["node", "keys", "subkeys"])
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array([len(x) for x, _ in sets], pa.int32()), _lists(keys.view(np.int64), pa.int64())], names=["node", "size", "keys"])
 
-    return map_arrow(keyed, run, "node binary, keys array<long>, subkeys array<int>")
+    return map_arrow(keyed, run, "node binary, size int, keys array<long>")
 
 
 def _lists(table: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -145,20 +142,14 @@ class _Verifier:
         one, two = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), compare, "a binary, b binary")
 
-    def beyond(self, first: DataFrame, links: DataFrame) -> DataFrame:
-        """The links with all that are missing between components that meet at one leader (an exact prefix-filter join).
+    def beyond(self, large: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """All links between different roots of open large groups, by an exact prefix-filter join within each group.
 
-        Members that ``links`` join already are not compared, nor are those whose first common
+        Not compared are members that are joined already, and those whose first common
         shingle stands so late that too few can follow, as where only a passage is shared.
         """
         scratch, sets = self.scratch, self.sets
-        roots = components(links, scratch)
-        stars = first.select("node", "leader").union(first.select(F.col("leader").alias("node"), "leader")).distinct()
-        rooted = scratch.cut(stars.join(roots, "node", "left").select("node", "leader", F.coalesce("root", "node").alias("root")), "stars-rooted")
-        parted = lambda rows, by: scratch.cut(rows.groupBy(by).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(by), "parted")
-        apart = rooted.join(keys_for_join(parted(rooted, "leader")), "leader", "left_semi")
-        if apart.isEmpty():
-            return links
+        stars = large.select("leader", "node", "root").distinct()
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -168,15 +159,15 @@ class _Verifier:
                     n = len(keys)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([node.as_py()] * n, pa.binary()), pa.array([root.as_py()] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, len(x), np.int32))], names=["key", "node", "root", "at", "size"])
 
-        both = apart.join(sets, "node").join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("theirs")), "leader")
-        members = scratch.cut(map_arrow(both.select("node", "root", "leader", "shingles", "theirs"), cut, "key long, node binary, root binary, at int, size int"), "prefixes")
-        met = members.join(keys_for_join(parted(members, "key")), "key", "left_semi")
+        both = stars.join(sets, "node").join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("theirs")), "leader")
+        found = scratch.cut(map_arrow(both.select("node", "root", "leader", "shingles", "theirs"), cut, "key long, node binary, root binary, at int, size int"), "prefixes")
+        mark = F.xxhash64("root")
+        parted = found.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low != high").select("key")
+        met = found.join(keys_for_join(scratch.cut(parted, "parted")), "key", "left_semi")
         x, y = (met.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "at", "size")]) for side in "ab")
         possible = F.least(F.expr("size_a - at_a"), F.expr("size_b - at_b")) * (1 + LEAST_SIMILARITY) + 1e-6 >= LEAST_SIMILARITY * F.expr("size_a + size_b")
         pairs = x.join(y, "key").where(F.expr("node_a < node_b AND root_a != root_b") & possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        made = scratch.cut(self.verify(pairs), "links-beyond")
-        scratch.drop(members, rooted)
-        return links.union(made)
+        return verify(pairs)
 
 
 def _has_words(text: Column) -> Column:
@@ -187,11 +178,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> t
     """Rows (row, node, id, has words) of all documents, and node -> class (id, row kept, documents)."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     keyed = source.where(_has_words(F.col("text"))).select(text_key(F.col("text")).alias("node"), "text")
-    every = scratch.cut(_signatures(keyed), "signatures")
-    nodes = scratch.cut(every.groupBy("node").agg(F.any_value("keys").alias("keys"), F.any_value("subkeys").alias("subkeys")), "nodes")
-    scratch.drop(every)
+    signed = scratch.cut(_signatures(keyed), "signatures")
+    members = shared_members(signed, scratch)
+    scratch.drop(signed)
     verifier = _Verifier(keyed, scratch)
-    roots = components(link(nodes, verifier.prepare, scratch, beyond=verifier.beyond), scratch)
+    roots = components(link(members, verifier.prepare, scratch, least=LEAST_SIMILARITY, beyond=verifier.beyond, small=SMALL), scratch)
     rows = source.select(row_key(F.col("id"), F.col("text")).alias("row"), text_key(F.col("text")).alias("node"), "id", _has_words(F.col("text")).alias("worded"))
     rows = scratch.cut(rows, "rows")
     copies = rows.where("worded").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("least"), F.count("*").alias("docs"))

@@ -64,7 +64,9 @@ def family(seed, copies, words=150):
     return [" ".join(t) for t in made]
 
 
-def test_classes_of_large_families(spark):
+@pytest.mark.parametrize("small", [8, 256])
+def test_classes_of_large_families(spark, monkeypatch, small):
+    monkeypatch.setattr(N, "SMALL", small)
     texts = family(1, 220) + family(2, 60) + family(3, 3) + [" ".join(t.split()[:120]) for t in family(4, 5)]
     rng = random.Random(9)
     rows = list(enumerate(texts)) + [(1000 + k, texts[7]) for k in range(40)] + [(2000, None), (2001, ""), (2002, " \n"), (2003, "three word text"), (2004, "three word text"), (2005, "word " * 50_000), (3, texts[3]), (None, texts[285])]
@@ -91,7 +93,9 @@ def around_a_passage(seed, couples, common=110, own=14, kept=1):
     return made
 
 
-def test_couples_around_a_common_passage(spark):
+@pytest.mark.parametrize("small", [8, 256])
+def test_couples_around_a_common_passage(spark, monkeypatch, small):
+    monkeypatch.setattr(N, "SMALL", small)
     rows = [(k, t) for k, t in enumerate(t for seed in range(3) for t in around_a_passage(seed, 40))]
     want = brute(rows)
     assert len(want) == 120  # couples only
@@ -119,6 +123,45 @@ def test_empty(spark):
     assert N.drop_near_duplicates(same).count() == 3
 
 
+@pytest.mark.parametrize("small", [3, 1000])
+def test_link_joins_all_that_share_a_key(spark, small):
+    """Random chains and families against all pairs; among them members of a leader's family that others only reach through it."""
+    rng = random.Random(small)
+    value = {k: rng.choice([0, 1, 2, 3, 5, 9, 14, 200]) * 10 + rng.randint(0, 6) for k in range(240)}
+    keys = {k: sorted(rng.sample(range(12), rng.randint(1, 3))) for k in value}
+    near = lambda a, b: abs(value[a] - value[b]) <= 2
+    name = lambda k: bytes([k // 256, k % 256])
+    number = {name(k): k for k in value}
+    scratch = Scratch(spark, "t")
+    nodes = scratch.cut(spark.createDataFrame([(name(k), 10, keys[k]) for k in value] * 2, "node binary, size int, keys array<long>"), "nodes")
+    asked = []
+
+    def prepare(candidates):
+        def verify(pairs):
+            rows = [(r.a, r.b) for r in pairs.collect()]
+            asked.extend(rows)
+            return spark.createDataFrame([p for p in rows if near(number[p[0]], number[p[1]])], "a binary, b binary")
+
+        return verify
+
+    def beyond(large, members, verify):
+        x, y = (large.selectExpr("key", f"node AS {s}", f"root AS root_{s}") for s in "ab")
+        return verify(x.join(y, "key").where("a < b AND root_a != root_b").select("a", "b").distinct())
+
+    links = linking.link(linking.shared_members(nodes, scratch), prepare, scratch, least=0.8, beyond=beyond, small=small)
+    got = {number[r.node]: number[r.root] for r in linking.components(links, scratch).collect()}
+    want = {k: k for k in value}
+    for _ in range(len(value)):
+        before = dict(want)
+        for a in value:
+            for b in value:
+                if near(a, b) and set(keys[a]) & set(keys[b]):
+                    want[a] = want[b] = min(want[a], want[b])
+        if want == before:
+            break
+    assert {k: got.get(k, k) for k in value} == want and len(asked) < 240 * 239 / 4
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 180)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(80)]
