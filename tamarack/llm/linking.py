@@ -14,57 +14,55 @@ SMALL = 256
 
 
 def shared_members(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Written table of key, node and size: each node under each of its keys that another node has too.
+    """Written table of key, node, size and bits: each node under each of its keys that another node has too.
 
-    ``nodes`` is a written table of ``node``, ``size`` and ``keys`` (array<long>); rows of one
-    node may repeat. Whether a key is shared is found from fixed-width numbers, which are
+    ``nodes`` is a written table of ``node``, ``size``, ``keys`` and perhaps ``bits`` (array<long>, what
+    goes with each key); rows of one node may repeat. Whether a key is shared is found from fixed-width numbers, which are
     aggregated before the shuffle.
     """
-    rows = nodes.select(F.explode("keys").alias("key"), "node", "size")
+    if "bits" in nodes.columns:
+        rows = nodes.select(F.explode(F.arrays_zip("keys", "bits")).alias("k"), "node", "size").select("k.keys", "node", "size", "k.bits").toDF("key", "node", "size", "bits")
+    else:
+        rows = nodes.select(F.explode("keys").alias("key"), "node", "size", F.lit(0).cast("long").alias("bits"))
     mark = F.xxhash64("node")
     shared = rows.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low != high").select("key")
     shared = scratch.cut(shared, "shared")
-    members = scratch.cut(rows.join(keys_for_join(shared), "key").distinct().select("key", "node", "size"), "members")
+    members = scratch.cut(rows.join(keys_for_join(shared), "key").select("key", "node", "size", "bits").distinct(), "members")
     scratch.drop(shared)
     return members
 
 
-def _fits(least: float) -> Column:
-    """Sizes that a similarity of ``least`` allows."""
-    return F.least("size_a", "size_b") + F.lit(1e-6) >= F.lit(least) * F.greatest("size_a", "size_b")
-
-
-def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], scratch: Scratch, *, least: float, beyond: Callable[..., DataFrame], small: int = SMALL) -> DataFrame:
+def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], scratch: Scratch, *, fits: Column, beyond: Callable[..., DataFrame], small: int = SMALL) -> DataFrame:
     """Links (a, b) that join all nodes which share a key and pass verification, directly or by others.
 
     ``members`` are those of :func:`shared_members`. ``prepare`` gets the nodes that may be compared
-    and gives a function from pairs (a, b) to those of them that are links. A pair whose sizes
-    differ by more than ``least`` allows is no link.
+    and gives a function from pairs (a, b) to those of them that are links. A pair that does
+    not meet ``fits`` (of size_a, bits_a, size_b and bits_b) is no link.
 
     First every member is compared with one leader of its group, that which shares the most keys
     with others: one pair a member. A group that this joins as a whole is done, as families of
     copies mostly are. In a group that stays open, members of different components are compared:
     pair by pair up to ``small`` members, so the work is at most ``small`` pairs a member; in
     larger groups as ``beyond(groups, members, verify)`` says, which gets all members of the open
-    large groups (key, node, size, root, leader) and gives links between different roots.
+    large groups (key, node, size, bits, root, leader) and gives links between different roots.
     """
     known = members.groupBy("node").agg(F.count("*").alias("known"))
-    best = members.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node", "size")).alias("l"), F.count("*").alias("n"))
-    leaders = scratch.cut(best.select("key", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size"), "n"), "leaders")
+    best = members.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node", "size", "bits")).alias("l"), F.count("*").alias("n"))
+    leaders = scratch.cut(best.select("key", F.col("l.node").alias("leader"), F.col("l.size").alias("size_b"), F.col("l.bits").alias("bits_b"), "n"), "leaders")
     led = members.join(leaders, "key")
-    star = led.where("node != leader").select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("leader").alias("b"), F.col("leader_size").alias("size_b"))
-    star = scratch.cut(star.where(_fits(least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+    star = led.where("node != leader").withColumnsRenamed({"size": "size_a", "bits": "bits_a"}).where(fits)
+    star = scratch.cut(star.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "stars")
     asked = led.where("n > 2").select("node").union(star.select("a")).union(star.select("b")).distinct()
     verify = prepare(scratch.cut(asked, "candidates"))
     links = scratch.cut(verify(star), "links")
     roots = components(links, scratch)
-    rooted = led.where("n > 2").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"), "leader", "n")
+    rooted = led.where("n > 2").join(roots, "node", "left").select("key", "node", "size", "bits", F.coalesce("root", "node").alias("root"), "leader", "n")
     rooted = scratch.cut(rooted, "rooted")
     mark = F.xxhash64("root")
     opened = rooted.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low != high").select("key")
     opened = rooted.join(keys_for_join(scratch.cut(opened, "open")), "key", "left_semi")
-    x, y = (opened.where((F.col("n") <= small) & (F.col("node") != F.col("leader"))).select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "root")]) for side in "ab")
-    pairs = x.join(y, "key").where(F.expr("node_a < node_b AND root_a != root_b") & _fits(least)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    x, y = (opened.where((F.col("n") <= small) & (F.col("node") != F.col("leader"))).select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "bits", "root")]) for side in "ab")
+    pairs = x.join(y, "key").where(F.expr("node_a < node_b AND root_a != root_b") & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     more = scratch.cut(verify(scratch.cut(pairs, "pairs")), "links-small")
     links = links.union(more)
     large = scratch.cut(opened.where(F.col("n") > small).drop("n"), "open-large")

@@ -182,7 +182,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> t
     members = shared_members(signed, scratch)
     scratch.drop(signed)
     verifier = _Verifier(keyed, scratch)
-    roots = components(link(members, verifier.prepare, scratch, least=LEAST_SIMILARITY, beyond=verifier.beyond, small=SMALL), scratch)
+    fits = F.least("size_a", "size_b") + F.lit(1e-6) >= F.lit(LEAST_SIMILARITY) * F.greatest("size_a", "size_b")
+    roots = components(link(members, verifier.prepare, scratch, fits=fits, beyond=verifier.beyond, small=SMALL), scratch)
     rows = source.select(row_key(F.col("id"), F.col("text")).alias("row"), text_key(F.col("text")).alias("node"), "id", _has_words(F.col("text")).alias("worded"))
     rows = scratch.cut(rows, "rows")
     copies = rows.where("worded").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("least"), F.count("*").alias("docs"))
