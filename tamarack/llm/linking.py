@@ -11,6 +11,8 @@ from tamarack.llm.common import Scratch, keys_for_join
 
 #: Open groups of up to so many members are compared pair by pair, where they are not joined yet.
 SMALL = 256
+#: Members of an open group of more than twice so many that all others are compared with, about.
+DEPUTIES = 16
 
 
 def shared_members(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -41,12 +43,14 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame]
 
     First every member is compared with one leader of its group, that which shares the most keys
     with others: one pair a member. A group that this joins as a whole is done, as families of
-    copies mostly are. In a group that stays open, members of different components are compared:
-    pair by pair up to ``small`` members, so the work is at most ``small`` pairs a member; in
+    copies mostly are. In a larger group that stays open, members are compared with some others
+    drawn by hash, which joins most of what copies the copies. In a group that is still open,
+    members of different components are compared: pair by pair up to ``small`` members, so the work is at most ``small`` pairs a member; in
     larger groups as ``beyond(groups, members, verify)`` says, which gets all members of the open
     large groups (key, node, size, bits, root, leader) and gives links between different roots.
     """
-    known = members.groupBy("node").agg(F.count("*").alias("known"))
+    sizes = scratch.cut(members.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+    known = members.join(keys_for_join(sizes), "key").groupBy("node").agg(F.sum("n").alias("known"))
     best = members.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node", "size", "bits")).alias("l"), F.count("*").alias("n"))
     leaders = scratch.cut(best.select("key", F.col("l.node").alias("leader"), F.col("l.size").alias("size_b"), F.col("l.bits").alias("bits_b"), "n"), "leaders")
     led = members.join(leaders, "key")
@@ -55,9 +59,14 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame]
     asked = led.where("n > 2").select("node").union(star.select("a")).union(star.select("b")).distinct()
     verify = prepare(scratch.cut(asked, "candidates"))
     links = scratch.cut(verify(star), "links")
-    roots = components(links, scratch)
-    rooted = led.where("n > 2").join(roots, "node", "left").select("key", "node", "size", "bits", F.coalesce("root", "node").alias("root"), "leader", "n")
-    rooted = scratch.cut(rooted, "rooted")
+    rooted = _rooted(led.where("n > 2"), links, scratch)
+    deputies = rooted.where(F.col("n") > 2 * DEPUTIES).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.slice(F.array_sort(F.collect_set(F.when(F.xxhash64("node", "key") % F.greatest(F.lit(1), F.floor(F.col("n") / DEPUTIES)) == 0, F.struct("node", "size", "bits", "root")))), 1, 4 * DEPUTIES).alias("d"))
+    deputies = scratch.cut(deputies.where("low != high").select("key", F.explode("d").alias("d")).select("key", F.col("d.node").alias("deputy"), F.col("d.size").alias("size_b"), F.col("d.bits").alias("bits_b"), F.col("d.root").alias("root_b")), "deputies")
+    if not deputies.isEmpty():
+        met = rooted.join(keys_for_join(deputies), "key").where("node != leader AND deputy != leader AND root != root_b").withColumnsRenamed({"size": "size_a", "bits": "bits_a"}).where(fits)
+        met = met.select(F.least("node", "deputy").alias("a"), F.greatest("node", "deputy").alias("b")).distinct()
+        links = links.union(scratch.cut(verify(scratch.cut(met, "deputies-asked")), "links-deputies"))
+        rooted = _rooted(led.where("n > 2"), links, scratch)
     mark = F.xxhash64("root")
     opened = rooted.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low != high").select("key")
     opened = rooted.join(keys_for_join(scratch.cut(opened, "open")), "key", "left_semi")
@@ -68,10 +77,16 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame]
     large = scratch.cut(opened.where(F.col("n") > small).drop("n"), "open-large")
     if not large.isEmpty():
         links = links.union(scratch.cut(beyond(large, members, verify), "links-large"))
-    scratch.drop(leaders, star, rooted, roots)
+    scratch.drop(leaders, star, rooted)
     return links
 
 
+def _rooted(led: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The members with the root of the component that ``links`` make each part of."""
+    roots = components(links, scratch)
+    return scratch.cut(led.join(keys_for_join(roots), "node", "left").select("key", "node", "size", "bits", F.coalesce("root", "node").alias("root"), "leader", "n"), "rooted")
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b): root is the smallest node that it is joined to.
 
