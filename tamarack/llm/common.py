@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -111,6 +112,43 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What ``fit`` makes of all ``rows`` (of a bounded, written table) in one task; None of no rows. Only the result comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(found)) if found else None)], pa.binary())], names=["fitted"])
+
+    found = map_arrow(rows.coalesce(1), run, "fitted binary").collect()  # one row
+    return pickle.loads(found[0].fitted) if found else None
+
+
+def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """``_y``, ``_h`` and ``_text`` of each sampled id (``_id``, ``_y``, ``_h``; a bounded number) that ``docs`` (``_id``, ``_text``) has, once: of ids that repeat, the smallest text."""
+    return docs.join(F.broadcast(sample), "_id").groupBy("_h", "_id", "_y").agg(F.min("_text").alias("_text")).select("_h", "_y", "_text")
+
+
+def sample_labels(labels: DataFrame, id_col: str, label_col: str, rows: int) -> DataFrame:
+    """The labelled ids of the smallest hashes, each once: a bounded sample that does not depend on partitioning.
+
+    Of an id with several labels, the largest counts.
+    """
+    labelled = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
+    each = labelled.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y")).withColumn("_h", F.xxhash64("_id"))
+    return each.orderBy("_h", "_id").limit(rows)
+
+
+def up_to(sizes: DataFrame, most: int) -> int | None:
+    """Of a bounded table of ``h`` and ``n``: the hash up to which the rows of the smallest hashes have ``most`` together; None if no row fits."""
+    last, total = None, 0
+    for r in sorted(sizes.select("h", "n").collect()):
+        total += r.n
+        if total > most:
+            break
+        last = r.h
+    return last
+
+
 def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of at most ``most`` characters together, or of one longer text."""
     start = size = 0

@@ -7,12 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tamarack.llm.common import free_names, map_arrow, strings
+from tamarack.llm.common import Scratch, fit_in_task, free_names, labelled_texts, map_arrow, sample_labels, strings, up_to
 
 #: Code points of a passage, and how many passages are encoded at once.
 PASSAGE = 512
@@ -27,6 +26,8 @@ HIDDEN, GATE = 32, 16
 
 #: At most so many labelled rows are fitted on: those of the smallest hashes of their ids.
 TRAIN_ROWS = 2000
+#: They have at most so many passages together, and texts of more than MOST_PASSAGES are not fitted on (they are scored whole).
+TRAIN_PASSAGES, MOST_PASSAGES = 60_000, 2_000
 FOLDS = 5
 POSITIVE_FROM = 0.3
 
@@ -106,21 +107,34 @@ def fold(row_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, epochs: int = 12, seed: int = 7) -> Model | None:
-    """Fit on at most ``rows`` labelled documents outside fold 0; None if they do not show both labels."""
-    labelled = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold(F.col(id_col)) != 0))
-    sample = labelled.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"), F.xxhash64(id_col).alias("_h")).orderBy("_h", "_id", "_y").limit(rows).drop("_h")
-    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_y", "_text")  # at most `rows` rows of two numbers
+    """Fit on at most ``rows`` labelled documents outside fold 0, with TRAIN_PASSAGES passages; None if they do not show both labels.
+
+    The passages are written and fitted on in one task; the driver only gets the weights. Of ids that
+    repeat, the smallest text is taken; null and empty texts are one empty passage; empty tables give None.
+    """
+    sample = sample_labels(labels.where(fold(F.col(id_col)) != 0), id_col, label_col, rows)
+    joined = labelled_texts(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")), sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [np.concatenate([features(*p) for p in passages(t)]).astype("<f2").tobytes() for t in strings(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(bags, pa.binary())], names=["id", "y", "bag"])
-
-    found = map_arrow(joined, run, "id string, y int, bag binary").collect()
-    found.sort(key=lambda r: (xxhash.xxh3_64_intdigest(r.id), r.y, r.bag))
-    if len({r.y for r in found}) < 2:
-        return None
-    return _fit([np.frombuffer(r.bag, "<f2").reshape(-1, INPUTS) for r in found], np.array([r.y for r in found], np.float32), epochs, seed)
+            for h, y, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):  # one row at a time
+                text = text.as_py() or ""
+                if len(text) > PASSAGE * MOST_PASSAGES:
+                    continue
+                bag = np.concatenate([features(*p) for p in passages(text)]).astype("<f2")
+                yield pa.RecordBatch.from_arrays([pa.array([h.as_py()], pa.int64()), pa.array([y.as_py()], pa.int32()), pa.array([len(bag)], pa.int64()), pa.array([bag.tobytes()], pa.binary())], names=["h", "y", "n", "bag"])
+
+    def fit(table: pa.Table) -> Model | None:
+        table = table.sort_by([("h", "ascending"), ("y", "ascending"), ("n", "ascending")])
+        y = table["y"].to_numpy().astype(np.float32)
+        return _fit([np.frombuffer(x.as_buffer(), "<f2").reshape(-1, INPUTS) for x in table["bag"]], y, epochs, seed) if len(set(y)) > 1 else None
+
+    scratch = Scratch(docs.sparkSession, "mil-quality")
+    bags = scratch.cut(map_arrow(joined, run, "h long, y int, n long, bag binary"), "passages")
+    last = up_to(bags, TRAIN_PASSAGES)
+    model = None if last is None else fit_in_task(bags.where(F.col("h") <= last), fit)
+    scratch.drop(bags)
+    return model
 
 
 def _fit(bags: list[np.ndarray], y: np.ndarray, epochs: int, seed: int, rate: float = 3e-3, size: int = 32) -> Model:
@@ -179,8 +193,8 @@ def apply(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
 
     score (0 to 1) is that label 1 is likelier; predicted is 1 from POSITIVE_FROM. Null and
     empty texts are one empty passage and get its score. Without a model every score is 0.5.
-    Repeated rows get equal scores; the id is only used for held_out. An added name
-    that exists gets an underscore.
+    Every passage of a very long text counts. Repeated rows get equal scores; the id is only used
+    for held_out; an empty table gives no row. An added name that exists gets an underscore.
     """
     columns = docs.columns if columns is None else columns
     kinds = [f.split()[1] for f in ADDED.split(", ")]

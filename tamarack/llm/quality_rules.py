@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import BLOCK_CHARS, free_names, map_arrow, strings
+from tamarack.llm.common import BLOCK_CHARS, Scratch, fit_in_task, free_names, labelled_texts, map_arrow, sample_labels, strings, up_to
 
 #: Characters that count as symbols (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
@@ -30,8 +30,10 @@ CHAR_ORDERS = (2, 3, 4)
 #: Weights are whole multiples of 1 / SCALE, so that sums do not depend on their order.
 SCALE = 1 << 20
 
-#: At most so many labelled rows are fitted on: those of the smallest hashes of their ids.
+#: At most so many labelled rows are fitted on: those of the smallest hashes of their ids, as far as they have so many
+#: different n-grams together (each counted in its row), which bounds the memory of the task that fits to about 300 MB.
 TRAIN_ROWS = 2000
+TRAIN_NGRAMS = 6_000_000
 
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _ODD64 = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -132,49 +134,38 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * raw + self.offset))))
 
 
-def _sample(labels: DataFrame, id_col: str, label_col: str, rows: int) -> DataFrame:
-    """The labelled ids of the smallest hashes: a bounded sample that does not depend on partitioning."""
-    labelled = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
-    kept = labelled.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"), F.xxhash64(id_col).alias("_h"))
-    return kept.orderBy("_h", "_id", "_y").limit(rows).select("_id", "_y")
-
-
-def _gather(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> list:
-    """Label, and n-gram buckets with counts, of the sampled rows; of bounded size for any input."""
-    sample = F.broadcast(_sample(labels, id_col, label_col, rows))  # at most `rows` rows of two numbers
-    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(sample, "_id").select("_id", "_y", "_text")
+def _gather(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
+    """Hash h of the id, label, and n-gram buckets with shares (n of them) of the sampled rows."""
+    sample = sample_labels(labels, id_col, label_col, rows)
+    joined = labelled_texts(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")), sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in strings(batch.column(2)):
-                parts = []
+            for h, y, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):  # one row at a time
+                text, parts, n = text.as_py() or "", [], 0
                 for stretches in ((word_buckets(word_hashes(text)),), char_buckets(text)):
                     count = sum((np.bincount(b, minlength=1 << BUCKET_BITS) for b in stretches), np.zeros(1 << BUCKET_BITS, np.int64))
                     at = np.flatnonzero(count)
-                    count = count[at]
+                    count, n = count[at], n + len(at)
                     parts += [at.astype("<u4").tobytes(), (count / max(1, count.sum())).astype("<f4").tobytes()]
-                out.append(parts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), *[pa.array([p[k] for p in out], pa.binary()) for k in range(4)]], names=["id", "y", "wi", "wv", "ci", "cv"])
+                yield pa.RecordBatch.from_arrays([pa.array([h.as_py()], pa.int64()), pa.array([y.as_py()], pa.int32()), pa.array([n], pa.int64()), *[pa.array([p], pa.binary()) for p in parts]], names=["h", "y", "n", "wi", "wv", "ci", "cv"])
 
-    schema = "id string, y int, wi binary, wv binary, ci binary, cv binary"
-    found = map_arrow(joined, run, schema).collect()
-    return sorted(found, key=lambda r: (xxhash.xxh3_64_intdigest(r.id), r.y, r.ci))
+    return map_arrow(joined, run, "h long, y int, n long, wi binary, wv binary, ci binary, cv binary")
 
 
-def _fit(rows: list, rate: float = 0.2, steps: int = 120, ridge: float = 1e-5) -> Model | None:
+def _fit(table: pa.Table, rate: float = 0.2, steps: int = 120, ridge: float = 1e-5) -> Model | None:
     """Logistic regression by full-batch Adam; every fourth row calibrates slope and offset instead."""
-    if len({r.y for r in rows}) < 2:
+    table = table.sort_by([("h", "ascending"), ("y", "ascending"), ("n", "ascending")])
+    y, rows, size = table["y"].to_numpy().astype(np.float64), range(table.num_rows), 1 << BUCKET_BITS
+    if len(set(y)) < 2:
         return None
-    size = 1 << BUCKET_BITS
     idx, val, ptr = [], [], [0]
-    for r in rows:
-        idx += [np.frombuffer(r.wi, "<u4").astype(np.int64), np.frombuffer(r.ci, "<u4").astype(np.int64) + size]
-        val += [np.frombuffer(r.wv, "<f4"), np.frombuffer(r.cv, "<f4")]
+    for k in rows:
+        idx += [np.frombuffer(table["wi"][k].as_buffer(), "<u4").astype(np.int32), np.frombuffer(table["ci"][k].as_buffer(), "<u4").astype(np.int32) + np.int32(size)]
+        val += [np.frombuffer(table[c][k].as_buffer(), "<f4") for c in ("wv", "cv")]
         ptr.append(ptr[-1] + len(idx[-1]) + len(idx[-2]))
     idx, val, ptr = np.concatenate(idx), np.concatenate(val).astype(np.float32), np.array(ptr)
-    row = np.repeat(np.arange(len(rows)), np.diff(ptr))
-    y = np.array([r.y for r in rows], np.float64)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(ptr))
     held = np.arange(len(rows)) % 4 == 3
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
@@ -216,8 +207,17 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model | None:
-    """Fit on at most ``rows`` labelled documents; None if they do not show both labels."""
-    return _fit(_gather(docs, labels, id_col, text_col, label_col, rows))
+    """Fit on at most ``rows`` labelled documents with TRAIN_NGRAMS n-grams; None if they do not show both labels.
+
+    The n-grams are written and fitted on in one task; the driver only gets the weights. Of ids that
+    repeat, the smallest text is taken; null and empty texts have no n-gram; empty tables give None.
+    """
+    scratch = Scratch(docs.sparkSession, "quality-rules")
+    grams = scratch.cut(_gather(docs, labels, id_col, text_col, label_col, rows), "n-grams")
+    last = up_to(grams, TRAIN_NGRAMS)
+    model = None if last is None else fit_in_task(grams.where(F.col("h") <= last), _fit)
+    scratch.drop(grams)
+    return model
 
 
 #: What apply() adds to the documents' columns.
@@ -229,8 +229,9 @@ def apply(docs: DataFrame, model: Model | None, *, text_col: str = "text", colum
 
     kept is false where the base rules fail, else probability >= LEAST_PROBABILITY; without a
     model (no labels, or one kind only) the base rules alone decide and probability is null.
-    Null texts count as empty: no words, so base_failed. Repeated rows get equal verdicts. An
-    added name that exists gets an underscore.
+    Null texts count as empty: no words, so base_failed. A very long text is scored whole, a
+    stretch at a time. Repeated rows get equal verdicts; an empty table gives no row. An added name
+    that exists gets an underscore.
     """
     columns = docs.columns if columns is None else columns
     kinds = [f.split()[1] for f in ADDED.split(", ")]
