@@ -35,7 +35,7 @@ def shared_members(nodes: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], scratch: Scratch, *, fits: Column, beyond: Callable[..., DataFrame], small: int = SMALL) -> DataFrame:
-    """Links (a, b) that join all nodes which share a key and pass verification, directly or by others.
+    """(node, root) of the nodes that links join: all that share a key and pass verification, directly or by others.
 
     ``members`` are those of :func:`shared_members`. ``prepare`` gets the nodes that may be compared
     and gives a function from pairs (a, b) to those of them that are links. A pair that does
@@ -45,8 +45,8 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame]
     with others: one pair a member. A group that this joins as a whole is done, as families of
     copies mostly are. In a larger group that stays open, members are compared with some others
     drawn by hash, which joins most of what copies the copies. In a group that is still open,
-    members of different components are compared: pair by pair up to ``small`` members, so the work is at most ``small`` pairs a member; in
-    larger groups as ``beyond(groups, members, verify)`` says, which gets all members of the open
+    members of different components are compared: pair by pair up to ``small`` members, so the
+    work is at most ``small`` pairs a member; in larger groups as ``beyond(groups, members, verify)`` says, which gets all members of the open
     large groups (key, node, size, bits, root, leader) and gives links between different roots.
     """
     sizes = scratch.cut(members.groupBy("key").agg(F.count("*").alias("n")), "sizes")
@@ -58,35 +58,48 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame]
     star = scratch.cut(star.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "stars")
     asked = led.where("n > 2").select("node").union(star.select("a")).union(star.select("b")).distinct()
     verify = prepare(scratch.cut(asked, "candidates"))
-    links = scratch.cut(verify(star), "links")
-    rooted = _rooted(led.where("n > 2"), links, scratch)
-    deputies = rooted.where(F.col("n") > 2 * DEPUTIES).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.slice(F.array_sort(F.collect_set(F.when(F.xxhash64("node", "key") % F.greatest(F.lit(1), F.floor(F.col("n") / DEPUTIES)) == 0, F.struct("node", "size", "bits", "root")))), 1, 4 * DEPUTIES).alias("d"))
+    roots = components(scratch.cut(verify(star), "links"), scratch)
+    rooted = _rooted(led.where("n > 2"), roots, scratch)
+    drawn = F.when(F.xxhash64("node", "key") % F.floor(F.col("n") / DEPUTIES) == 0, F.struct("node", "size", "bits", "root"))
+    deputies = rooted.where(F.col("n") > 2 * DEPUTIES).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.collect_set(drawn).alias("d"))  # DEPUTIES of a group, about
     deputies = scratch.cut(deputies.where("low != high").select("key", F.explode("d").alias("d")).select("key", F.col("d.node").alias("deputy"), F.col("d.size").alias("size_b"), F.col("d.bits").alias("bits_b"), F.col("d.root").alias("root_b")), "deputies")
     if not deputies.isEmpty():
         met = rooted.join(keys_for_join(deputies), "key").where("node != leader AND deputy != leader AND root != root_b").withColumnsRenamed({"size": "size_a", "bits": "bits_a"}).where(fits)
         met = met.select(F.least("node", "deputy").alias("a"), F.greatest("node", "deputy").alias("b")).distinct()
-        links = links.union(scratch.cut(verify(scratch.cut(met, "deputies-asked")), "links-deputies"))
-        rooted = _rooted(led.where("n > 2"), links, scratch)
+        roots = _joined(roots, verify(scratch.cut(met, "deputies-asked")), scratch)
+        rooted = _rooted(led.where("n > 2"), roots, scratch)
     mark = F.xxhash64("root")
     opened = rooted.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low != high").select("key")
     opened = rooted.join(keys_for_join(scratch.cut(opened, "open")), "key", "left_semi")
     x, y = (opened.where((F.col("n") <= small) & (F.col("node") != F.col("leader"))).select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "bits", "root")]) for side in "ab")
     pairs = x.join(y, "key").where(F.expr("node_a < node_b AND root_a != root_b") & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    more = scratch.cut(verify(scratch.cut(pairs, "pairs")), "links-small")
-    links = links.union(more)
+    made = scratch.cut(verify(scratch.cut(pairs, "pairs")), "links-small")
     large = scratch.cut(opened.where(F.col("n") > small).drop("n"), "open-large")
     if not large.isEmpty():
-        links = links.union(scratch.cut(beyond(large, members, verify), "links-large"))
-    scratch.drop(leaders, star, rooted)
-    return links
+        made = made.union(scratch.cut(beyond(large, members, verify), "links-large"))
+    scratch.drop(leaders, star, rooted, large)
+    return _joined(roots, made, scratch)
 
 
-def _rooted(led: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """The members with the root of the component that ``links`` make each part of."""
-    roots = components(links, scratch)
+def _rooted(led: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """The members with the root of the component that each is part of."""
     return scratch.cut(led.join(keys_for_join(roots), "node", "left").select("key", "node", "size", "bits", F.coalesce("root", "node").alias("root"), "leader", "n"), "rooted")
 
 
+def _joined(roots: DataFrame, made: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) after further links (a, b), of which one between each two components counts."""
+    known = keys_for_join(roots)
+    ends = made.join(known.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
+    ends = ends.select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    ends = scratch.cut(ends, "between")
+    if ends.isEmpty():
+        return roots
+    above = components(ends, scratch)
+    moved = roots.join(keys_for_join(above.select(F.col("node").alias("root"), F.col("root").alias("far"))), "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+    alone = above.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    return scratch.cut(moved.union(alone), "roots")
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b): root is the smallest node that it is joined to.
 

@@ -148,8 +148,8 @@ def test_link_joins_all_that_share_a_key(spark, small):
         x, y = (large.selectExpr("key", f"node AS {s}", f"root AS root_{s}") for s in "ab")
         return verify(x.join(y, "key").where("a < b AND root_a != root_b").select("a", "b").distinct())
 
-    links = linking.link(linking.shared_members(nodes, scratch), prepare, scratch, fits=linking.F.lit(True), beyond=beyond, small=small)
-    got = {number[r.node]: number[r.root] for r in linking.components(links, scratch).collect()}
+    roots = linking.link(linking.shared_members(nodes, scratch), prepare, scratch, fits=linking.F.lit(True), beyond=beyond, small=small)
+    got = {number[r.node]: number[r.root] for r in roots.collect()}
     want = {k: k for k in value}
     for _ in range(len(value)):
         before = dict(want)
