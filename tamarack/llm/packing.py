@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import tokens
-from tamarack.llm.common import map_arrow, strings
+from tamarack.llm.common import Scratch, map_arrow, strings
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -69,46 +69,69 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int], int
     return place, offset, windows
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, end_id: int = 0, tokenizer: str | None = None, block_pieces: int = 100_000) -> DataFrame:
+#: Pieces that one task packs together.
+PACKED_TOGETHER = 100_000
+
+
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, end_id: int = 0, tokenizer: str | None = None, together: int = PACKED_TOGETHER) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document is its ids and then ``end_id``. One longer than ``window`` is first cut into
-    full windows; what is left is packed best fit decreasing. Every task packs its own
-    rows, ``block_pieces`` pieces at a time, so nothing is shuffled and memory does not grow
-    with the input; sequence ids are unique over all tasks. At most the last windows of a
-    block stay open: some hundredths of a percent of padding.
+    A document is its ids and then ``end_id``. One longer than ``window`` is first cut into full
+    windows, which are sequences of their own. What is left of each document, one row of numbers,
+    is dealt by hash to as many tasks as its counted number needs at ``together`` a task (about),
+    and packed there best fit decreasing, so padding does not depend on how the documents are
+    divided: of 1,000 documents or more it is some thousandths. Memory does not grow with the input.
 
-    Null and empty texts are the single ``end_id``. Repeated rows are packed once each, null
-    ids stay null, an empty table gives no row, other columns are not read.
+    Null and empty texts are the single ``end_id``. Repeated rows are packed once each, ties are
+    packed in the order of their pieces, null ids stay null, a very long text is encoded as a
+    whole, an empty table gives no row, other columns are not read.
     """
     path = tokenizer or tokens.default_path()
     crc = zlib.crc32
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids, base, end = tokens.encoder(path), TaskContext.get().partitionId() << 32, np.array([end_id], "<u4").tobytes()
-        rows: list[tuple] = []
-        used = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal rows, used
-            place, offset, windows = best_fit([r[2] for r in rows], window)
-            columns = [list(c) for c in zip(*rows, strict=True)] + [[base + used + p for p in place], offset]
-            rows, used = [], used + windows
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
+        ids, piece, end = tokens.encoder(path), TaskContext.get().partitionId() << 34, np.array([end_id], "<u4").tobytes()
         for batch in batches:
+            rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
                 data = ids.encode(text) + end
                 total, step = len(data) // 4, window * 4
                 for at in range(0, len(data), step):
-                    piece = data[at : at + step]
-                    rows.append((doc, at // 4, len(piece) // 4, crc(piece), total))
-                if len(rows) >= block_pieces:
-                    yield flush()
-        if rows:
+                    part = data[at : at + step]
+                    rows.append((doc, at // 4, len(part) // 4, crc(part), total, 2 * piece, 0))
+                    piece += 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).sort_by("sequence_id").combine_chunks()
+            lengths, own = table["length"].to_pylist(), table["sequence_id"].to_pylist()
+            place, offset, windows = best_fit(lengths, window)
+            first = [0] * windows  # a sequence has the odd number after its first piece's
+            for k, (p, o) in enumerate(zip(place, offset, strict=True)):
+                if o == 0:
+                    first[p] = own[k] + 1
+            columns = [*[table[c].combine_chunks() for c in names[:5]], pa.array([first[p] for p in place], pa.int64()), pa.array(offset, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 2 * together:
+                yield flush()
+                held, size = [], 0
+        if size:
             yield flush()
 
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
-    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, SCHEMA)
+    pieces = map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), cut, SCHEMA)
+    pieces = Scratch(docs.sparkSession, "packing").cut(pieces, "pieces")
+    left = pieces.where(F.col("length") < window)
+    tasks = -(-left.count() // together)
+    packed = map_arrow(left.repartition(max(1, tasks), F.xxhash64("sequence_id")), fit, SCHEMA)
+    return pieces.where(F.col("length") == window).union(packed)

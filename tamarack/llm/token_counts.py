@@ -64,8 +64,9 @@ def every_limit(docs: DataFrame, **options) -> DataFrame:
     at most that length, so the first row whose quantile reaches q holds the q-quantile.
     Between two rows the truncated total is linear, with slope ``docs_over`` of the lower.
 
-    Null and empty texts count with length 0, repeated rows count each, an empty table
-    gives no row.
+    Null and empty texts count with length 0, a very long text is encoded as a whole, repeated
+    rows count each, an empty table gives no row, other columns are not read. The runs' sums, one row
+    for RUN lengths, meet in one task.
     """
     at: Column = F.col("tokens")
     over = F.col("docs_from") - F.col("docs")
@@ -83,10 +84,24 @@ def every_limit(docs: DataFrame, **options) -> DataFrame:
 
 
 def truncated_totals(table: DataFrame, limits: list[int]) -> DataFrame:
-    """Truncated totals at any given limits, from the rows of :func:`every_limit`; small lists only."""
-    spark = table.sparkSession
-    wanted = spark.createDataFrame([(int(x),) for x in limits], "limit long")
-    below = F.col("context_limit") <= F.col("limit")
-    lower = F.max(F.when(below, F.struct("context_limit", "truncated_total", "docs_over")))
-    joined = table.join(F.broadcast(wanted)) if limits else table.limit(0).join(wanted)
-    return joined.groupBy("limit").agg(lower.alias("l"), F.max("all_docs").alias("n")).select("limit", F.coalesce(F.col("l.truncated_total") + F.col("l.docs_over") * (F.col("limit") - F.col("l.context_limit")), F.col("n") * F.col("limit")).alias("truncated_total"))
+    """Truncated totals at any given limits, from the rows of :func:`every_limit`; repeated limits count once, an empty table gives no row.
+
+    Each row answers the limits from its own length up to the next row's, by bisection in the
+    sorted limits, which are part of the plan.
+    """
+    wanted = sorted({int(x) for x in limits})
+    if not wanted:
+        return table.select(F.col("context_limit").alias("limit"), "truncated_total").limit(0)
+    spans = F.array(*[F.lit(x).cast("long") for x in wanted])
+    lower = F.max(F.struct("context_limit", "truncated_total", "docs_over"))
+    # a row with the first limit that it is below: of all rows of one such limit, the last counts for it
+    first = F.filter(spans, lambda x: x >= F.col("context_limit"))
+    reached = table.select("context_limit", "truncated_total", "docs_over", "all_docs", F.get(first, F.lit(0)).alias("limit"))
+    best = reached.where("limit IS NOT NULL").groupBy("limit").agg(lower.alias("l"))
+    totals = table.agg(F.max("all_docs").alias("n"))
+    found = best.groupBy().agg(F.array_sort(F.collect_list(F.struct("limit", "l"))).alias("rows"))  # at most one row a limit
+    both = totals.select("n", F.lit(1).alias("one")).join(found.withColumn("one", F.lit(1)), "one").where("n IS NOT NULL")
+    each = both.select("n", "rows", F.explode(spans).alias("limit"))
+    last = F.element_at(F.filter("rows", lambda r: r["limit"] <= F.col("limit")), -1)
+    under = each.select("limit", "n", F.when(F.size(F.filter("rows", lambda r: r["limit"] <= F.col("limit"))) > 0, last["l"]).alias("l"))
+    return under.select("limit", F.coalesce(F.col("l.truncated_total") + F.col("l.docs_over") * (F.col("limit") - F.col("l.context_limit")), F.col("n") * F.col("limit")).alias("truncated_total"))

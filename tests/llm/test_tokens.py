@@ -15,7 +15,6 @@ def slow():
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(PATH)
-    made.encode_special_tokens = True
     return lambda t: made.encode(t or "", add_special_tokens=False).ids
 
 
@@ -24,6 +23,23 @@ def test_ids_equal_the_library(slow):
         assert np.frombuffer(tokens.encoder(PATH).encode(text), "<u4").tolist() == slow(text)
 
 
+@pytest.mark.parametrize("run", [" ", "\n ", "\u3000", "\t"])
+def test_long_runs_of_white_space(slow, monkeypatch, run):
+    monkeypatch.setattr(tokens, "RUN", 40)
+    monkeypatch.setattr(tokens, "_RUN", tokens.re.compile(f"[{tokens._SPACE}]{{40,}}"))
+    made = tokens.encoder(PATH)
+    for text in (run * 60, "a" + run * 60 + "b 1", run * 60 + "<|endoftext|>" + run * 60 + "!x", f"it's{run * 90}'s {run * 50}\x1c", "x <|endoftext|>" + run * 70):
+        assert np.frombuffer(made.encode(text), "<u4").tolist() == slow(text) and made.count(text) == len(slow(text))
+
+
+def test_very_long_texts(slow):
+    made = tokens.encoder(PATH)
+    for text in (" " * 3_000_000, "\n " * 1_500_000 + "end", "a" + "\t" * 1_200_000 + "b", "x" * 3_000_000, "7" * 3_000_000, "-" * 3_000_000):
+        assert made.count(text) > 0
+    text = "word " + " " * 1_500_000 + "end"
+    assert np.frombuffer(made.encode(text), "<u4").tolist() == slow(text)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=80))
 def test_best_fit_is_tightest(lengths):
@@ -72,7 +88,7 @@ def test_pack_round_trip(spark, slow):
 
 def test_little_padding(spark):
     rows = [(k, "word " * (k * 37 % 700 + 1)) for k in range(3000)]
-    got = packing.pack(docs(spark, rows).coalesce(1), block_pieces=1000).collect()
+    got = packing.pack(docs(spark, rows).coalesce(1), together=1000).collect()
     assert sum(r.length for r in got) > 0.985 * 1024 * len({r.sequence_id for r in got})
 
 
@@ -87,3 +103,13 @@ def test_histogram_answers(spark, slow):
     limits = [0, 1, 50, 333, 100_000]
     assert {r.limit: r.truncated_total for r in token_counts.truncated_totals(table, limits).collect()} == {n: sum(min(x, n) for x in lens) for n in limits}
     assert token_counts.every_limit(docs(spark, [])).count() == 0
+
+
+def test_padding_does_not_depend_on_the_division(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for parts in (1, 211):
+        got = packing.pack(rows.repartition(parts)).toPandas()
+        used = got.groupby("sequence_id").length.sum()
+        assert used.max() <= 1024 and used.sum() / (1024 * len(used)) > 0.99
+        for _, own in got.sort_values("offset").groupby("sequence_id"):
+            assert (own.offset.to_numpy() == np.r_[0, np.cumsum(own.length.to_numpy())[:-1]]).all()
