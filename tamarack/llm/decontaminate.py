@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamarack.llm.common import Scratch, keys_for_join, row_key
 
 #: Fixed masks over consecutive tokens: 1 is hashed, 0 may differ. Each starts and ends with 1.
-MASKS = ("110110010111", "101100111011")
+MASKS = ("110110010111", "101100111011", "111011101101")
 SPAN = len(MASKS[0])
 #: Around a hit, so many tokens of the item and of the document are compared on each side of the mask.
 MARGIN = 4
@@ -49,15 +49,33 @@ def _equal(doc: Column, item: Column) -> Column:
     return F.size(F.filter(F.zip_with(doc, item, lambda a, b: a == b), lambda same: same)).cast("long")
 
 
-def _verified(hits: DataFrame) -> DataFrame:
-    """Hits (words, at; item_words, item_at) whose surroundings agree; adds ``matched`` and ``overlap``."""
-    before = F.least(F.lit(MARGIN), F.col("at"), F.col("item_at"))
-    after = F.least(F.col("span") + MARGIN, F.size("words") - F.col("at"), F.size("item_words") - F.col("item_at"))
-    around = hits.withColumn("before", before).withColumn("overlap", (before + after).cast("long"))
-    cut = lambda words, at: F.slice(words, F.col(at) - F.col("before") + 1, F.col("overlap").cast("int"))
-    matched = around.withColumn("matched", _equal(cut("words", "at"), cut("item_words", "item_at")))
-    enough = (F.col("overlap") >= F.least(F.lit(LEAST_OVERLAP), F.size("item_words"))) & (F.col("matched") >= LEAST_SHARE * F.col("overlap"))
-    return matched.where(enough)
+def _around(words: str, at: str) -> tuple[Column, Column, Column]:
+    """Up to MARGIN tokens before a hit, those under it, and up to MARGIN behind it."""
+    before = F.least(F.lit(MARGIN), F.col(at))
+    behind = F.col(at) + F.col("span")
+    return F.slice(words, F.col(at) - before + 1, before), F.slice(words, F.col(at) + 1, F.col("span")), F.slice(words, behind + 1, F.lit(MARGIN))
+
+
+def _verified(windows: DataFrame) -> DataFrame:
+    """Hits with the tokens around them on both sides (doc_before, doc_under, doc_behind, item_before, ..., item_size); adds ``best``.
+
+    Of all stretches that hold the hit and up to MARGIN tokens before and behind it, the one with the most
+    equal tokens counts that is long and equal enough.
+    """
+    left = F.least(F.size("doc_before"), F.size("item_before"))
+    right = F.least(F.size("doc_behind"), F.size("item_behind"))
+    end = lambda words, n: F.slice(words, F.size(words) - n + 1, n)
+    sized = windows.withColumn("under", _equal(F.col("doc_under"), F.col("item_under"))).withColumn("left", left).withColumn("right", right)
+    same = sized.withColumn("left_same", F.reverse(F.zip_with(end("doc_before", F.col("left")), end("item_before", F.col("left")), lambda a, b: (a == b).cast("int"))))
+    same = same.withColumn("right_same", F.zip_with(F.slice("doc_behind", F.lit(1), F.col("right")), F.slice("item_behind", F.lit(1), F.col("right")), lambda a, b: (a == b).cast("int")))
+    first = lambda flags, n: sum((F.coalesce(F.get(flags, F.lit(k)), F.lit(0)) for k in range(n)), F.lit(0))
+    tried = []
+    for a in range(MARGIN + 1):
+        for b in range(MARGIN + 1):
+            overlap, matched = F.col("span") + a + b, F.col("under") + first("left_same", a) + first("right_same", b)
+            enough = (F.col("left") >= a) & (F.col("right") >= b) & (overlap >= F.least(F.lit(LEAST_OVERLAP), F.col("item_size"))) & (matched >= LEAST_SHARE * overlap)
+            tried.append(F.when(enough, F.struct(matched.cast("long").alias("matched"), overlap.cast("long").alias("overlap"))))
+    return same.withColumn("best", F.array_max(F.array(*tried))).where("best IS NOT NULL")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -66,12 +84,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     ``row`` is :func:`~tamarack.llm.common.row_key` of id and text. Both sides are lower-case
     runs of letters and digits. Every window of SPAN tokens of every document is hashed under
     each mask, with the tokens at the mask's zeros left out, and joined to the benchmark's;
-    around each hit, up to MARGIN tokens more on each side are compared place by place. A pair
-    is reported with its largest number of ``matched`` tokens of ``overlap``. Items shorter
-    than the masks must occur whole.
+    around each hit, up to MARGIN tokens more on each side are compared place by place, and the
+    best stretch that holds the hit counts. A pair is reported with its largest number of
+    ``matched`` tokens of ``overlap``. Items shorter than the masks must occur whole.
 
     Null and empty texts and items contain nothing and are contained in nothing. Repeated rows
-    give one pair; rows of a null id are reported with a null id; an empty table gives no row;
+    give one pair, and of equally many matched tokens the longer stretch counts; every position of a
+    very long text is hashed; rows of a null id are reported with a null id; an empty table gives no row;
     other columns are not read. A small benchmark (by its counted windows) is broadcast, so
     that the documents' hashes are not shuffled; a larger one is joined by a shuffle of hashes.
     Only the documents with hits are read again, to be compared.
@@ -92,8 +111,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     hits = scratch.cut(placed.join(wanted, ["hash", "span"]).select("row", "at", "span", "item_key", "item_at").distinct(), "hits")
     rows = scratch.cut(hits.select("row").distinct(), "rows")
     met = keyed.join(keys_for_join(rows), "row", "left_semi").distinct().select("row", "id", words_of(F.col("text")).alias("words"))
-    both = hits.join(met, "row").join(items.select("item_key", "item", F.col("words").alias("item_words")), "item_key")
-    best = _verified(both).groupBy("row", "id", "item_key", "item").agg(F.max(F.struct("matched", "overlap")).alias("best"))
+    windows = hits.join(met, "row").select("row", "id", "span", "item_key", "item_at", *[c.alias(f"doc_{n}") for n, c in zip(("before", "under", "behind"), _around("words", "at"), strict=True)])
+    windows = windows.join(items, "item_key").select("row", "id", "span", "item_key", "item", "doc_before", "doc_under", "doc_behind", F.size("words").alias("item_size"), *[c.alias(f"item_{n}") for n, c in zip(("before", "under", "behind"), _around("words", "item_at"), strict=True)])
+    best = _verified(windows).groupBy("row", "id", "item_key", "item").agg(F.max("best").alias("best"))
     return best.select("row", "id", "item", "best.matched", "best.overlap")
 
 

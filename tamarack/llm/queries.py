@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm import chat, decontaminate, line_dedup, mil_quality, near_duplicates, packing, quality_rules, surrogates, token_counts, warc_zip
+from tamarack.llm import pipeline as _pipeline
 from tamarack.llm.common import read
 
 
@@ -58,7 +59,8 @@ FROM o GROUP BY conv_id"""
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return surrogates.replace_entities(docs, b"tamarack surrogate key")
+    key = spark.conf.get("tamarack.surrogates.key", "a key for trials only")  # who has the key can tell who is who
+    return surrogates.replace_entities(docs, key.encode())
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +83,9 @@ tp AS (SELECT doc_id, w, unnest(range(0, len(w) - {d.SPAN - 1})) AS p FROM t WHE
 bp AS (SELECT item_id, w, unnest(range(0, len(w) - {d.SPAN - 1})) AS p FROM b WHERE len(w) >= {d.SPAN}),
 tw AS ({windows.format("tp")}), bw AS ({windows.format("bp")}),
 hits AS (SELECT DISTINCT tw.doc_id, bw.item_id, tw.w AS tw, bw.w AS bw, tw.p AS ta, bw.p AS ba FROM tw JOIN bw ON tw.k = bw.k),
-around AS (SELECT *, least({d.MARGIN}, ta, ba) AS lo, least({d.SPAN + d.MARGIN}, len(tw) - ta, len(bw) - ba) AS hi FROM hits),
-seen AS (SELECT doc_id, item_id, lo + hi AS overlap, len(bw) AS n, len(list_filter(range(0, lo + hi), lambda i: tw[ta - lo + i + 1] = bw[ba - lo + i + 1])) AS matched FROM around),
+around AS (SELECT *, least({d.MARGIN}, ta, ba) AS lo, least({d.MARGIN}, len(tw) - ta - {d.SPAN}, len(bw) - ba - {d.SPAN}) AS hi FROM hits),
+lefts AS (SELECT *, unnest(range(0, lo + 1)) AS l FROM around), parts AS (SELECT *, unnest(range(0, hi + 1)) AS r FROM lefts),
+seen AS (SELECT doc_id, item_id, l + {d.SPAN} + r AS overlap, len(bw) AS n, len(list_filter(range(0, l + {d.SPAN} + r), lambda i: tw[ta - l + i + 1] = bw[ba - l + i + 1])) AS matched FROM parts),
 short AS (SELECT tq.doc_id, b.item_id, len(b.w) AS overlap, len(b.w) AS matched FROM b JOIN (SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM t) tq ON len(b.w) BETWEEN 1 AND {d.SPAN - 1} AND tq.w[tq.p + 1 : tq.p + len(b.w)] = b.w),
 every AS (SELECT doc_id, item_id, matched, overlap FROM seen WHERE overlap >= least({d.LEAST_OVERLAP}, n) AND matched >= {d.LEAST_SHARE} * overlap UNION ALL SELECT doc_id, item_id, matched, overlap FROM short)
 SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched, CAST(arg_max(overlap, matched * 100 + overlap) AS BIGINT) AS overlap FROM every GROUP BY doc_id, item_id"""
@@ -121,9 +124,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return _pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -26,10 +26,11 @@ def brute(docs, items):
                 for p in range(len(w) - len(m) + 1):
                     for q in range(len(b) - len(m) + 1):
                         if all(w[p + k] == b[q + k] for k in kept):
-                            lo, hi = min(D.MARGIN, p, q), min(len(m) + D.MARGIN, len(w) - p, len(b) - q)
-                            same = sum(w[p + k] == b[q + k] for k in range(-lo, hi))
-                            if lo + hi >= min(D.LEAST_OVERLAP, len(b)) and same >= D.LEAST_SHARE * (lo + hi):
-                                found[doc, item] = max(found.get((doc, item), (0, 0)), (same, lo + hi))
+                            for lo in range(min(D.MARGIN, p, q) + 1):
+                                for hi in range(len(m), min(len(m) + D.MARGIN, len(w) - p, len(b) - q) + 1):
+                                    same = sum(w[p + k] == b[q + k] for k in range(-lo, hi))
+                                    if lo + hi >= min(D.LEAST_OVERLAP, len(b)) and same >= D.LEAST_SHARE * (lo + hi):
+                                        found[doc, item] = max(found.get((doc, item), (0, 0)), (same, lo + hi))
     return {(d, i, *v) for (d, i), v in found.items()}
 
 
@@ -83,3 +84,13 @@ def test_query_matches_sql(spark):
     found = queries.op5_decontaminate(spark, d)
     assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().toString())
     assert sorted(map(tuple, found.collect())) == sorted(con.execute(queries.oracle_sql()["op5_decontaminate"]).fetchall()) != []
+
+
+def test_passages_from_the_middle_of_an_item(spark):
+    """Exact passages of 13 tokens and more are found wherever they stand in an item and a document."""
+    rng = random.Random(11)
+    say = lambda n: [rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(n)]
+    items = [(k, say(40)) for k in range(6)]
+    docs = [(100 * k + n, " ".join(say(20) + words[14 : 14 + n] + say(20))) for k, words in items for n in (12, 13, 14, 15, 16, 20)]
+    d, b = frames(spark, docs, [(k, " ".join(w)) for k, w in items])
+    assert {r.id for r in D.contaminated(d, b).collect()} >= {i for i, _ in docs if i % 100 > 12}
