@@ -36,8 +36,10 @@ ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
 _PLACE = {c: (a, k) for a in ALPHABETS for k, c in enumerate(a)}
 _HAN = range(0x4E00, 0x9FA6)
 
+#: Words that stand between the parts of a name and stay as they are (fixed values).
+PARTICLES = "van von der den de del della di da du dos la le el al bin ibn ter ten zu zur y".split()
 _NAME = r"[^\W\d_a-zà-ÿа-яα-ω][^\W\d_]*(?:['’-][^\W\d_]+)*"
-_TITLE = re.compile(r"\b(" + "|".join(re.escape(t) for g in TITLES.values() for t in g) + rf")\b\.?[ \t]+({_NAME}(?:[ \t]+{_NAME}){{0,2}})")
+_TITLE = re.compile(r"\b(" + "|".join(re.escape(t) for g in TITLES.values() for t in g) + rf")\b\.?[ \t]+({_NAME}(?:[ \t]+(?:(?:{'|'.join(PARTICLES)})[ \t]+){{0,3}}{_NAME}){{0,3}})")
 _HAN_NAME = re.compile(r"([一-龥]{2,3})(" + "|".join(HAN_TITLES) + ")")
 _EMAIL = re.compile(r"[\w.+%-]*\w@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 _SECRET = re.compile(r"(?i)\b(?:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd|bearer)\b[\"']?(?:\s*[:=]\s*|\s+)[\"']?((?=[^\s\"']*\d)[A-Za-z0-9_+/=.-]{8,})")
@@ -122,10 +124,13 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     names = []
     for m in _TITLE.finditer(rest) if any(t in rest for t in _ANY_TITLE) else ():
         gender = next(g for g, titles in TITLES.items() if m[1] in titles)
-        words = list(re.finditer(r"\S+", m[2]))
+        words = [w for w in re.finditer(r"\S+", m[2]) if w[0] not in PARTICLES]
         for k, w in enumerate(words):
             part = "last" if k == len(words) - 1 else f"first.{gender}"
             names.append((m.start(2) + w.start(), m.start(2) + w.end(), f"{part}.{script_of(w[0])}", w[0].lower()))
+    told = {entity: kind for _, _, kind, entity in names if kind.startswith(("first.m", "first.f"))}
+    # one person, whatever the title: a first name that another title gives a gender has it here too
+    names = [(a, b, told.get(entity, kind) if kind.startswith("first.n") else kind, entity) for a, b, kind, entity in names]
     take(names)
     if names:
         take(_bare(rest, names))
@@ -134,18 +139,18 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def _bare(text: str, names: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
-    """Later mentions, without a title, of names found in the same text; single letters and words in lower case are none."""
-    known: dict[str, tuple[int, str]] = {}
-    for _, end, kind, entity in names:
+    """Mentions without a title, anywhere in the text, of names found in it; single letters and words in lower case are none."""
+    known: dict[str, str] = {}
+    for _, _, kind, entity in names:
         if len(entity) > 1:
-            known.setdefault(entity, (end, kind))
+            known.setdefault(entity, kind)
     if not known:
         return []
     either = "|".join(map(re.escape, sorted(known, key=lambda e: (-len(e), e))))
     found = []
     for m in re.finditer(rf"(?<![^\W_])(?:{either})(?![^\W_])", text, re.IGNORECASE):
-        end, kind = known.get(m[0].lower(), (len(text), ""))
-        if m.start() >= end and not m[0][0].islower():
+        kind = known.get(m[0].lower())
+        if kind and not m[0][0].islower():
             found.append((*m.span(), kind, m[0].lower()))
     return found
 
@@ -226,6 +231,8 @@ class Surrogates:
         if kind == "phone" and entity.startswith("+"):
             keep = len(entity) - 10 if len(entity) > 11 else 2
             return entity[:keep] + self.characters(entity[keep:], kind, entity[:keep], attempt)
+        if kind.startswith(("first.", "last.")) and (parts := re.split("([-'’])", entity))[1:]:  # each part of a double name for itself
+            return "".join(x if k % 2 else self.canonical(kind, x, attempt) if x else "" for k, x in enumerate(parts))
         if kind.startswith("first."):
             _, gender, script = kind.split(".")
             pool = FIRST[script][gender]
@@ -259,7 +266,11 @@ class Surrogates:
         if kind == "email" and len(canonical) == len(mention):
             return "".join(c.upper() if m.isupper() else c for m, c in zip(mention, canonical, strict=True))
         if kind.startswith(("first.", "last.")):
-            return canonical.upper() if len(mention) > 1 and mention.isupper() else canonical.capitalize()
+            if len(mention) > 1 and mention.isupper():
+                return canonical.upper()
+            inner = {k for k, c in enumerate(mention) if k and c.isupper() and mention[k - 1].isalpha()}  # as in McDonald
+            made = "".join(x.capitalize() for x in re.split("([-'’])", canonical))
+            return "".join(c.upper() if k in inner and "-" not in mention else c for k, c in enumerate(made))
         return canonical
 
 
@@ -314,9 +325,11 @@ def replace_entities(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", tex
     """``docs`` with surrogates in ``text_col``, and added ``n_entities`` and ``kinds`` (``card:1,email:2``).
 
     An entity gets one surrogate wherever it occurs; different entities get different ones;
-    the key decides which, and without it they cannot be undone or linked. Format, script,
+    the key decides which, and without it they cannot be undone or linked. Names are found by a
+    title, and then wherever they stand in the same text; particles between their parts stay. A
+    first name under a title without gender has the gender that another title gives it in its text. Format, script,
     gender and validity (check digits, octets) match. Null texts stay null with 0 entities;
-    empty texts, repeated rows and an empty table need nothing special; an added
+    empty texts, very long ones, repeated rows and an empty table need nothing special; an added
     name that exists gets an underscore.
     """
     added = free_names(docs.columns, ["n_entities", "kinds"])
