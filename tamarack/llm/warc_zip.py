@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import itertools
 import json
 import struct
 import uuid
@@ -15,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import Scratch, map_arrow
+from tamarack.llm.common import Scratch, keys_for_join, map_arrow
 
 #: A task starts a new archive once one holds so many bytes of records.
 ARCHIVE_BYTES = 256 << 20
@@ -23,8 +24,11 @@ ARCHIVE_BYTES = 256 << 20
 ENTRIES = 2000
 GAP, REQUEST = 64 << 10, 8 << 20
 
+#: Names of the members that are written; those read are found by the endings of their names.
 RECORDS = "archive/data.warc.gz"
 INDEX = "indexes/index.cdxj"
+ARCHIVE_ENDS, INDEX_ENDS = (".warc.gz", ".warc"), (".cdxj", ".cdx")
+WRITTEN = "20200101000000"
 
 
 def payload_digest(payload: Column) -> Column:
@@ -45,27 +49,53 @@ def _record(page: int | None, url: str | None, payload: bytes, digest: str, refe
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Headers (lower-case names), payload as stored, and the payload's full length by its HTTP header, of a record compressed or not."""
+    """Headers (lower-case names), payload as stored, and the payload's full length, of a record compressed or not.
+
+    Of an HTTP block the payload is what follows its header, and its length is that of the header's
+    Content-Length, or as stored where there is none; any other block is the payload itself.
+    """
     data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("no WARC record here")
-    headers = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}
+    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    if not headers.get("content-length", "").isdigit():
+        raise ValueError("the record has no length")
     block = rest[: int(headers["content-length"])]
     if len(block) != int(headers["content-length"]):
         raise ValueError("the record is cut short")
+    if not headers.get("content-type", "").startswith("application/http"):
+        return headers, block, len(block)
     http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(v) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.lower() == b"content-length")
-    return headers, payload, length
+    told = [v.strip() for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.strip().lower() == b"content-length"]
+    return headers, payload, int(told[0]) if told and told[0].isdigit() else len(payload)
+
+
+def _surt(url: str | None) -> str:
+    """A sort-friendly key of an index line: the host's labels reversed, then the path; without white space."""
+    scheme, _, rest = (url or "").partition("://")
+    host, slash, path = rest.partition("/")
+    key = f"{','.join(reversed(host.lower().split('.')))}){slash}{path}" if rest else scheme
+    return "".join(c if c > " " else f"%{ord(c):02X}" for c in key) or "-"
+
 
+def index_entry(line: bytes) -> dict:
+    """The fields of an index line ``key timestamp {json}``, or of a bare JSON line."""
+    found = json.loads(line[line.index(b"{") :])
+    return found | {"offset": int(found["offset"]), "length": int(found["length"])}
 
-def _roles(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
-    """page, url, payload, digest, refers_to, kind of each row; only digests and ids are grouped."""
+
+def _roles(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int, scratch: Scratch) -> DataFrame:
+    """page, url, payload, digest, refers_to, kind of each row; only digests and ids are grouped.
+
+    The digests that occur more than once, with their first page, are sent to the payloads up to a
+    bound of bytes; beyond it they are joined by a shuffle, whose large partitions Spark splits.
+    """
     source = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")).withColumn("digest", payload_digest(F.col("payload")))
     eligible = F.octet_length("payload") >= least_bytes
     first = source.where(eligible).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = source.join(first, "digest", "left")
+    joined = source.join(keys_for_join(scratch.cut(first, "first")), "digest", "left")
     revisit = eligible & F.coalesce(F.col("page") != F.col("first"), F.col("first").isNotNull())
     return joined.select("page", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, "revisit").otherwise("response").alias("kind"))
 
@@ -75,14 +105,16 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
 
     Of the records with equal payloads of at least ``least_bytes`` bytes, that with the smallest
     page id is a response and the others revisit it; smaller payloads are responses. A package
-    holds the stored members ``archive/data.warc.gz``, each record compressed by itself, and ``indexes/index.cdxj``, in that order.
+    holds the stored members ``archive/data.warc.gz``, each record compressed by itself, and
+    ``indexes/index.cdxj`` (lines ``key timestamp {json}``), in that order.
 
     Null html is an empty payload; rows of a null id revisit a row that has one, if they can,
-    and are responses else; rows that repeat the smallest id are responses each; an empty table
-    gives no archive. Every attempt of a task writes names of its own, and only those of the
+    and are responses else; rows that repeat the smallest id are responses each; a very long
+    payload is one record, held whole by one task; other columns are not read; an empty table gives
+    no archive. Every attempt of a task writes names of its own, and only those of the
     attempts that succeeded are returned, so a lost executor leaves nothing half-written in them.
     """
-    rows = _roles(pages, id_col, url_col, html_col, least_bytes)
+    rows = _roles(pages, id_col, url_col, html_col, least_bytes, Scratch(pages.sparkSession, "warc-roles"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -112,7 +144,8 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
                     made.append((name, 0))
                 data = gzip.compress(_record(page, url, payload, digest, refers_to, kind), 1, mtime=0)
                 member.write(data)
-                index.append(json.dumps({"offset": size, "length": len(data), "page": page}).encode() + b"\n")
+                entry = {"url": url or "urn:none", "mime": "warc/revisit" if kind == "revisit" else "text/html", "status": "200", "digest": f"sha1:{digest}", "length": str(len(data)), "offset": str(size), "filename": RECORDS.rpartition("/")[2]}
+                index.append(f"{_surt(url)} {WRITTEN} {json.dumps(entry)}\n".encode())
                 size += len(data)
                 made[-1] = (made[-1][0], made[-1][1] + 1)
                 if size >= archive_bytes:
@@ -188,6 +221,20 @@ class Package:
             yield Member(name.decode("utf-8" if flags & 0x800 else "cp437"), header, compressed, size, method)
             at += 46 + n + m + k
 
+    def ending(self, ends: tuple[str, ...]) -> list[str]:
+        """The members whose names end so, in the order of the central directory."""
+        return [n for n in self.members if n.lower().endswith(ends)]
+
+    def archive_of(self, filename: str | None) -> str:
+        """The archive member that an index entry names, by its whole name or the last part of it; where there is one only, no name is needed."""
+        every = self.ending(ARCHIVE_ENDS)
+        if not filename and len(every) == 1:
+            return every[0]
+        found = [n for n in every if n == filename] or [n for n in every if n.rpartition("/")[2] == (filename or "").rpartition("/")[2]]
+        if len(found) != 1:
+            raise ValueError(f"no single archive member {filename!r}")
+        return found[0]
+
     def start_of(self, name: str) -> int:
         """Where a stored member's bytes start; its local header is read for the lengths of name and extra field."""
         member = self.members[name]
@@ -220,34 +267,38 @@ class Package:
 
 
 def plan_reads(archives: DataFrame, *, entries: int = ENTRIES) -> DataFrame:
-    """path, from, to: stretches of the archives' indexes, as units of work of even size."""
+    """path, member, from, to: stretches of the archives' indexes, as units of work of even size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for path in batch.column(0).to_pylist():
                 package = Package(path)
-                length, start, at, lines, carry = package.members[INDEX].size, 0, 0, 0, 0
-                while at < length:  # the index is read in stretches; only where its lines end is kept
-                    part = package.read(INDEX, at, min(REQUEST, length - at))
-                    for k, line in enumerate(part.split(b"\n")[:-1]):
-                        carry += len(line) + 1
-                        lines += 1
-                        if lines == entries:
-                            found.append((path, start, carry))
-                            start, lines = carry, 0
-                    at += len(part)
-                    tail = len(part) - (part.rfind(b"\n") + 1)
-                    at -= tail if at < length else 0  # a line that is cut is read again
-                    if part.rfind(b"\n") < 0:
-                        raise ValueError("an index line is too long")
-                if carry > start:
-                    found.append((path, start, carry))
+                indexes = package.ending(INDEX_ENDS)
+                if not indexes and package.ending(ARCHIVE_ENDS):
+                    raise ValueError(f"no index in {path}")
+                for name in indexes:
+                    length, start, at, lines, carry = package.members[name].size, 0, 0, 0, 0
+                    while at < length:  # the index is read in stretches; only where its lines end is kept
+                        part = package.read(name, at, min(REQUEST, length - at))
+                        last = at + len(part) == length
+                        ends = part.rfind(b"\n") + 1
+                        if not ends and not last:
+                            raise ValueError("an index line is too long")
+                        for line in (part if last else part[:ends]).splitlines(keepends=True):
+                            carry += len(line)
+                            lines += 1
+                            if lines == entries:
+                                found.append((path, name, start, carry))
+                                start, lines = carry, 0
+                        at += len(part) if last else ends  # a line that is cut is read again
+                    if carry > start:
+                        found.append((path, name, start, carry))
                 package.close()
-            columns = list(zip(*found, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["path", "start", "end"])
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["path", "member", "start", "end"])
 
-    return map_arrow(archives.select("path"), run, "path string, start long, end long")
+    return map_arrow(archives.select("path"), run, "path string, member string, start long, end long")
 
 
 RECORD_SCHEMA = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -256,12 +307,15 @@ RECORD_SCHEMA = "page_id long, url string, record_type string, payload_digest st
 def read_records(archives: DataFrame, *, entries: int = ENTRIES, payloads: bool = True) -> DataFrame:
     """One row per record of the archives (``path``), by range reads along their indexes.
 
-    ``payload`` is as stored (empty for revisits; null without ``payloads``), digest and length
-    are of the full payload. A damaged package or record raises ValueError.
+    Index and archive members are found in each package's central directory by the endings of their
+    names; an index line names its archive. ``payload`` is as stored (empty for revisits; null
+    without ``payloads``), digest and length are of the full payload; what a record does not say is
+    null (the page id where the record's id is none of ours). A damaged package or record, a
+    compressed member, and a package with archives but no index raise ValueError.
     """
     work = plan_reads(archives, entries=entries)
     context = archives.sparkSession.sparkContext
-    spread = work.repartition(max(2 * context.defaultParallelism, 8), "path", "start")
+    spread = work.repartition(max(2 * context.defaultParallelism, 8), "path", "member", "start")
 
     def page_of(urn: str | None) -> int | None:
         text = (urn or "").removeprefix("<urn:page:").removesuffix(">")
@@ -271,17 +325,19 @@ def read_records(archives: DataFrame, *, entries: int = ENTRIES, payloads: bool
         names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, index, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 package = Package(path)
-                lines = [json.loads(x) for x in package.read(INDEX, start, end - start).splitlines()]
+                lines = [index_entry(x) for x in package.read(index, start, end - start).splitlines() if b"{" in x]
                 rows, held = [], 0
-                for data in package.ranges(RECORDS, [(x["offset"], x["length"]) for x in lines]):
-                    head, payload, length = parse_record(data)
-                    rows.append((page_of(head["warc-record-id"]), head["warc-target-uri"], head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:"), length, page_of(head.get("warc-refers-to")), payload if payloads else None))
-                    held += len(data)
-                    if held > REQUEST:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                        rows, held = [], 0
+                for name, own in itertools.groupby(lines, lambda x: package.archive_of(x.get("filename"))):
+                    for data in package.ranges(name, [(x["offset"], x["length"]) for x in own]):
+                        head, payload, length = parse_record(data)
+                        digest = head.get("warc-payload-digest")
+                        rows.append((page_of(head.get("warc-record-id")), head.get("warc-target-uri"), head.get("warc-type"), digest.removeprefix("sha1:") if digest else None, length, page_of(head.get("warc-refers-to")), payload if payloads else None))
+                        held += len(data) + len(payload)
+                        if held > REQUEST:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                            rows, held = [], 0
                 package.close()
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -292,8 +348,9 @@ def read_records(archives: DataFrame, *, entries: int = ENTRIES, payloads: bool
 def round_trip(pages: DataFrame, *, least_bytes: int = 0, **options) -> DataFrame:
     """Write ``pages`` into archives in the shared folder, and read their records back."""
     scratch = Scratch(pages.sparkSession, "warc")
-    folder = scratch.path("archives")
-    if "://" not in folder:
-        folder = f"file://{folder.removeprefix('file:')}"
+    context = pages.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(scratch.path("archives"))
+    folder = at.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(at).toString()  # with the scheme of the file system that Spark uses
+    folder = f"file://{folder.removeprefix('file:')}" if folder.startswith("file:/") and not folder.startswith("file://") else folder
     archives = scratch.cut(write_archives(pages, folder, least_bytes=least_bytes, **options), "manifest")
     return read_records(archives)

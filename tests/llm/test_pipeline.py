@@ -68,8 +68,8 @@ def test_stages_on_odd_tables(spark, tmp_path):
     odd = spark.createDataFrame([(None, None, None), (1, "a b c " * 30, 2), (1, "a b c " * 30, 2)], "doc_id long, text string, kept int").selectExpr("*", "'x' AS n_lines", "1 AS row")
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
-    kept = {name: sorted(r.text for r in stage(spark, odd, str(tmp_path)).collect()) if name not in ("near duplicates", "decontamination", "packing") else stage(spark, odd, str(tmp_path)).count() for name, stage in P.STAGES}
+    kept = {name: sorted((r.text for r in stage(spark, odd, str(tmp_path)).collect()), key=str) if name not in ("near duplicates", "decontamination", "packing") else stage(spark, odd, str(tmp_path)).count() for name, stage in P.STAGES}
     same = "a b c " * 30
     # repeats too much; of rows that repeat one keeps its line; one of a class; no benchmark item; each row is packed
-    assert kept == {"quality rules": [], "line dedup": [same], "near duplicates": 2, "decontamination": 3, "packing": 3}
+    assert kept == {"quality rules": [], "line dedup": [None, same], "near duplicates": 2, "decontamination": 3, "packing": 3}
     assert near_duplicates.SHINGLE == 5

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import struct
 import zipfile
@@ -80,3 +81,46 @@ def test_query_matches_sql(spark):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{d}/pages.parquet'")
     got = queries.op8_warc_zip(spark, d).collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(queries.oracle_sql()["op8_warc_zip"]).fetchall())
+
+
+def record(kind, body, **headers):
+    head = "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", *[f"{k.replace('_', '-')}: {v}" for k, v in headers.items()], f"Content-Length: {len(body)}"])
+    return head.encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_packages_made_elsewhere(spark, tmp_path):
+    """Several archives, real index lines (the last one without a line end), and records without what ours have."""
+    html = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>no length</p>"
+    told = {
+        "archive/part-1.warc.gz": [record("warcinfo", b"software: x", Content_Type="application/warc-fields"), record("response", html, WARC_Target_URI="http://a.b/c", Content_Type="application/http;msgtype=response", WARC_Record_ID="<urn:uuid:1>")],
+        "archive/part-2.warc": [record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", Content_Type="application/http; msgtype=request"), record("resource", b"\x00\xff raw", WARC_Payload_Digest="sha1:ABC")],
+    }
+    lines, path = [], tmp_path / "hand.wacz"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        for name, records in told.items():
+            parts = [gzip.compress(r) if name.endswith("gz") else r for r in records]
+            z.writestr(name, b"".join(parts))
+            lines += [f'b,a)/c 2024010203040{k} {{"url": "http://a.b/c", "offset": "{sum(map(len, parts[:k]))}", "length": "{len(p)}", "filename": "{name.split("/")[1]}"}}' for k, p in enumerate(parts)]
+        z.writestr("indexes/index.cdxj", "\n".join(lines))
+    for entries in (1, 2, 2000):
+        got = W.read_records(spark.createDataFrame([(f"file://{path}",)], "path string"), entries=entries).collect()
+        assert sorted((r.record_type, bytes(r.payload), r.payload_bytes, r.payload_digest, r.url, r.page_id) for r in got) == [
+            ("request", b"", 0, None, None, None), ("resource", b"\x00\xff raw", 6, "ABC", None, None), ("response", b"<p>no length</p>", 16, None, "http://a.b/c", None), ("warcinfo", b"software: x", 11, None, None, None)]
+    bare = tmp_path / "bare.wacz"
+    with zipfile.ZipFile(bare, "w") as z:
+        z.writestr("archive/x.warc", told["archive/part-2.warc"][0])
+    with pytest.raises(Exception, match="no index"):
+        W.read_records(spark.createDataFrame([(f"file://{bare}",)], "path string")).collect()
+
+
+def test_index_lines():
+    assert W._surt("http://www.Example.org/a b?c") == "org,example,www)/a%20b?c" and W._surt(None) == "-"
+    assert W.index_entry(b'org,a)/ 2020 {"offset": "7", "length": "9", "filename": "x"}') == {"offset": 7, "length": 9, "filename": "x"} == W.index_entry(b'{"offset": 7, "length": 9, "filename": "x"}')
+
+
+def test_many_repeated_payloads_go_by_a_join(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, "u", f"p{k % 9}", "d") for k in range(90)], SCHEMA)
+    want = sorted(map(tuple, W.round_trip(rows).collect()))
+    monkeypatch.setattr("tamarack.llm.common.BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, W.round_trip(rows).collect())) == want
