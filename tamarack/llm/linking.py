@@ -50,10 +50,11 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame]
     large groups (key, node, size, bits, root, leader) and gives links between different roots.
     """
     sizes = scratch.cut(members.groupBy("key").agg(F.count("*").alias("n")), "sizes")
-    known = members.join(keys_for_join(sizes), "key").groupBy("node").agg(F.sum("n").alias("known"))
-    best = members.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node", "size", "bits")).alias("l"), F.count("*").alias("n"))
+    known = scratch.cut(members.join(keys_for_join(sizes), "key").groupBy("node").agg(F.sum("n").alias("known")), "known")
+    best = members.join(keys_for_join(known), "node").groupBy("key").agg(F.max(F.struct("known", "node", "size", "bits")).alias("l"), F.count("*").alias("n"))
     leaders = scratch.cut(best.select("key", F.col("l.node").alias("leader"), F.col("l.size").alias("size_b"), F.col("l.bits").alias("bits_b"), "n"), "leaders")
-    led = members.join(leaders, "key")
+    led = scratch.cut(members.join(leaders, "key"), "led")
+    scratch.drop(sizes, known, leaders)
     star = led.where("node != leader").withColumnsRenamed({"size": "size_a", "bits": "bits_a"}).where(fits)
     star = scratch.cut(star.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "stars")
     asked = led.where("n > 2").select("node").union(star.select("a")).union(star.select("b")).distinct()
@@ -77,7 +78,7 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame]
     large = scratch.cut(opened.where(F.col("n") > small).drop("n"), "open-large")
     if not large.isEmpty():
         made = made.union(scratch.cut(beyond(large, members, verify), "links-large"))
-    scratch.drop(leaders, star, rooted, large)
+    scratch.drop(led, star, rooted, large)
     return _joined(roots, made, scratch)
 
 
@@ -103,19 +104,30 @@ def _joined(roots: DataFrame, made: DataFrame, scratch: Scratch) -> DataFrame:
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b): root is the smallest node that it is joined to.
 
-    Every round a node takes the smallest root among its neighbours' and then its root's root,
-    so the rounds grow with the logarithm of the longest path.
+    Every round a node moves to its smallest neighbour, and on to where that one moves, and the links
+    are drawn between what they have moved to; those within one node are gone. So the links
+    dwindle, in rounds that grow with the logarithm of the longest path; at the end the moves
+    are put together, the last ones, which are the fewest, first.
     """
-    edges = scratch.cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = scratch.cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    while True:
-        heard = edges.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
-        lower = scratch.cut(labels.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root")), "lower")
-        jumped = lower.join(lower.select(F.col("node").alias("root"), F.col("root").alias("far")), "root").select("node", "was", F.least("root", "far").alias("root"))
-        jumped = scratch.cut(jumped, "labels")
-        scratch.drop(labels, lower)
-        labels = jumped.select("node", "root")
-        labels.scratch_path = jumped.scratch_path
-        if jumped.where("root != was").isEmpty():
-            scratch.drop(edges)
-            return labels
+    edges, moves = scratch.cut(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"), []
+    every = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
+    if edges.isEmpty():
+        return scratch.cut(every.distinct().withColumn("root", F.col("node")), "roots")
+    while moves == [] or not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        up = scratch.cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("up")), "up")
+        far = keys_for_join(up).select(F.col("node").alias("up"), F.col("up").alias("far"))
+        moved = scratch.cut(up.join(far, "up").select("node", F.col("far").alias("root")), "moved")
+        moves.append(moved)
+        to = keys_for_join(moved)
+        drawn = edges.join(to.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        drawn = scratch.cut(drawn.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        scratch.drop(edges, up)
+        edges = drawn
+    found = moves.pop()
+    while moves:
+        later = keys_for_join(found).select(F.col("node").alias("root"), F.col("root").alias("far"))
+        found = scratch.cut(moves.pop().join(later, "root", "left").select("node", F.coalesce("far", "root").alias("root")), "roots")
+    return found
+
+
