@@ -11,7 +11,7 @@ from tamarack.llm.common import Scratch, keys_for_join
 
 #: Open groups of up to so many members are compared pair by pair, where they are not joined yet.
 SMALL = 256
-#: Members of an open group of more than twice so many that all others are compared with, about.
+#: So many members (to twice as many, about) of an open group of more than twice so many are compared with all others.
 DEPUTIES = 16
 
 
@@ -61,7 +61,8 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame]
     verify = prepare(scratch.cut(asked, "candidates"))
     roots = components(scratch.cut(verify(star), "links"), scratch)
     rooted = _rooted(led.where("n > 2"), roots, scratch)
-    drawn = F.when(F.xxhash64("node", "key") % F.floor(F.col("n") / DEPUTIES) == 0, F.struct("node", "size", "bits", "root"))
+    # by powers of two, so that the groups of one family draw the same ones
+    drawn = F.when(F.xxhash64("node").bitwiseAND(F.expr(f"shiftleft(1L, CAST(floor(log2(n / {DEPUTIES})) AS int)) - 1L")) == 0, F.struct("node", "size", "bits", "root"))
     deputies = rooted.where(F.col("n") > 2 * DEPUTIES).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.collect_set(drawn).alias("d"))  # DEPUTIES of a group, about
     deputies = scratch.cut(deputies.where("low != high").select("key", F.explode("d").alias("d")).select("key", F.col("d.node").alias("deputy"), F.col("d.size").alias("size_b"), F.col("d.bits").alias("bits_b"), F.col("d.root").alias("root_b")), "deputies")
     if not deputies.isEmpty():
