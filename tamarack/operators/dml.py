@@ -105,9 +105,10 @@ def _checked(model: Model, rows: DataFrame) -> DataFrame:
     return rows
 
 
-def _unique(model: Model, rows: DataFrame, stored: DataFrame | None) -> None:
+def _unique(model: Model, rows: DataFrame, stored: DataFrame | None, only: set[str] | None = None) -> None:
+    """Raises DataError where a unique field (of ``only``, if given) holds a value twice, in ``rows`` or in them and ``stored``."""
     for name, field in model.fields.items():
-        if not (field.primary_key or field.unique):
+        if not (field.primary_key or field.unique) or only is not None and name not in only:
             continue
         keys = rows.where(F.col(name).isNotNull()).select(name)
         twice = keys.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").limit(5).collect()
@@ -116,9 +117,10 @@ def _unique(model: Model, rows: DataFrame, stored: DataFrame | None) -> None:
             raise DataError(f"{model.name}.{name}: key exists already: {', '.join(str(r[0]) for r in twice or met)}")
 
 
-def _references(model: Model, rows: DataFrame, store: Store) -> None:
+def _references(model: Model, rows: DataFrame, store: Store, only: set[str] | None = None) -> None:
+    """Raises DataError where a foreign key (of ``only``, if given) names a row that is not there."""
     for name, field in model.fields.items():
-        if isinstance(field, ForeignKey) and field.db_constraint:
+        if isinstance(field, ForeignKey) and field.db_constraint and (only is None or name in only):
             edge = model.edge(name)
             wanted = rows.where(F.col(name).isNotNull()).select(F.col(name).alias("k")).distinct()
             have = rows if edge.target is model else None
@@ -129,6 +131,16 @@ def _references(model: Model, rows: DataFrame, store: Store) -> None:
                 raise DataError(f"{model.name}.{name}: {edge.target.name} has no {', '.join(str(r.k) for r in lost)}")
 
 
+def _replace(store: Store, model: Model, rows: DataFrame, changed: set[str]) -> None:
+    """Put ``rows`` in the place of all stored ones, in one commit; what changed is checked on the written part before that."""
+    manifest = store.manifest()
+    part = store.write_part(model, _checked(model, rows))  # a part that no manifest names is not there
+    written = store.spark.read.schema(model.schema()).parquet(f"{store.root}/{part}")
+    _unique(model, written, None, changed)
+    _references(model, written, store, changed)
+    store.commit(manifest | {"tables": manifest["tables"] | {model.name: {"parts": [part], "schema": json.loads(model.schema().json())}}})
+
+
 def bulk_insert(query: Query, rows: DataFrame, columns: list | None = None) -> int:
     """Add rows; returns how many. Everything is checked before anything is written, in one commit."""
     store: Store = query.source
@@ -194,8 +206,7 @@ def update(query: Query, **values: Any) -> int:
     count = rows.where(hit).count()
     if count:
         new = rows.select(*[F.when(hit, changed[n]).otherwise(F.col(n)).alias(n) if n in changed else F.col(n) for n in model.fields])
-        _references(model, new.where(hit).select(*model.fields), store)
-        store.change({model: _checked(model, new)})
+        _replace(store, model, new, set(changed))
     return count
 
 
@@ -228,7 +239,7 @@ def bulk_update(query: Query, rows: DataFrame, columns: list | None = None, keys
     made = [F.when(hit, F.col(f"\x01{n}")).otherwise(F.col(n)).alias(n) if n in sets else F.when(hit, _now(f)).otherwise(F.col(n)).alias(n) if getattr(f, "auto_now", False) else F.col(n) for n, f in model.fields.items()]
     count = joined.where(hit).count()
     if count:
-        store.change({model: _checked(model, joined.select(*made))})
+        _replace(store, model, joined.select(*made), set(sets))
     return count
 
 

@@ -159,3 +159,36 @@ def test_csv(spark, tmp_path):
     m = tk.Model("circuit", circuitid=tk.IDField(), name=tk.TextField(null=True), lat=tk.FloatField(null=True))
     got = [tuple(r) for r in read_csv(spark, str(path), m).collect()]
     assert got[1] == (2, None, None) and got[0][0] == 1 and got[0][2] == 50.4
+
+
+def test_updates_keep_keys_and_references(store, spark):
+    before = store.manifest()["version"]
+    frame = spark.createDataFrame
+    for wrong, what in (
+        (lambda: tk.bulk_update(store.query("player"), frame([(1, 99)], "id long, club long")), "club has no 99"),
+        (lambda: tk.bulk_update(store.query("club"), frame([(1, "same"), (2, "same")], "id long, name string")), "exists already: same"),
+        (lambda: tk.bulk_update(store.query("club"), frame([(1, "two")], "id long, name string")), "exists already: two"),
+        (lambda: tk.update(store.query("club").filter({"id__@lte": 2}), name="dup"), "exists already: dup"),
+        (lambda: tk.update(store.query("player").filter(id=1), club=99), "club has no 99"),
+    ):
+        with pytest.raises(DataError, match=what):
+            wrong()
+    assert store.manifest()["version"] == before
+    assert tk.bulk_update(store.query("club"), frame([(1, "two"), (2, "one")], "id long, name string")) == 2
+    assert tk.update(store.query("club").filter(id=3), name="last") == 1
+
+
+def test_one_of_two_writers_wins(store):
+    mine, theirs = store.manifest(), store.manifest()
+    assert store.commit(mine) == mine["version"] + 1
+    with pytest.raises(RuntimeError, match="changed meanwhile"):
+        store.commit(theirs)
+
+
+def test_vacuum(store):
+    was = {n: sorted(map(str, store.query(n).list().collect())) for n in ("club", "player", "note")}
+    tk.update(store.query("club").filter(id=3), kind="sc")
+    assert store.vacuum(keep=2) == 0 and store.vacuum() == 1 and store.vacuum() == 0
+    assert sorted(map(str, store.query("player").list().collect())) == was["player"] and sorted(map(str, store.query("note").list().collect())) == was["note"]
+    tk.update(store.query("club").filter(id=3), kind="fc")
+    assert sorted(map(str, store.query("club").list().collect())) == was["club"]
