@@ -34,7 +34,7 @@ def shared_members(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return members
 
 
-def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], scratch: Scratch, *, fits: Column, beyond: Callable[..., DataFrame], small: int = SMALL) -> DataFrame:
+def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], scratch: Scratch, *, fits: Column, beyond: Callable[..., DataFrame], small: int = SMALL, deputies: int = DEPUTIES) -> DataFrame:
     """(node, root) of the nodes that links join: all that share a key and pass verification, directly or by others.
 
     ``members`` are those of :func:`shared_members`. ``prepare`` gets the nodes that may be compared
@@ -62,11 +62,11 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame]
     roots = components(scratch.cut(verify(star), "links"), scratch)
     rooted = _rooted(led.where("n > 2"), roots, scratch)
     # by powers of two, so that the groups of one family draw the same ones
-    drawn = F.when(F.xxhash64("node").bitwiseAND(F.expr(f"shiftleft(1L, CAST(floor(log2(n / {DEPUTIES})) AS int)) - 1L")) == 0, F.struct("node", "size", "bits", "root"))
-    deputies = rooted.where(F.col("n") > 2 * DEPUTIES).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.collect_set(drawn).alias("d"))  # DEPUTIES of a group, about
-    deputies = scratch.cut(deputies.where("low != high").select("key", F.explode("d").alias("d")).select("key", F.col("d.node").alias("deputy"), F.col("d.size").alias("size_b"), F.col("d.bits").alias("bits_b"), F.col("d.root").alias("root_b")), "deputies")
-    if not deputies.isEmpty():
-        met = rooted.join(keys_for_join(deputies), "key").where("node != leader AND deputy != leader AND root != root_b").withColumnsRenamed({"size": "size_a", "bits": "bits_a"}).where(fits)
+    drawn = F.when(F.xxhash64("node").bitwiseAND(F.expr(f"shiftleft(1L, CAST(floor(log2(n / {deputies})) AS int)) - 1L")) == 0, F.struct("node", "size", "bits", "root"))
+    chosen = rooted.where(F.col("n") > 2 * deputies).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.collect_set(drawn).alias("d"))  # of each group, up to twice so many, about
+    chosen = scratch.cut(chosen.where("low != high").select("key", F.explode("d").alias("d")).select("key", F.col("d.node").alias("deputy"), F.col("d.size").alias("size_b"), F.col("d.bits").alias("bits_b"), F.col("d.root").alias("root_b")), "deputies")
+    if not chosen.isEmpty():
+        met = rooted.join(keys_for_join(chosen), "key").where("node != leader AND deputy != leader AND root != root_b").withColumnsRenamed({"size": "size_a", "bits": "bits_a"}).where(fits)
         met = met.select(F.least("node", "deputy").alias("a"), F.greatest("node", "deputy").alias("b")).distinct()
         roots = _joined(roots, verify(scratch.cut(met, "deputies-asked")), scratch)
         rooted = _rooted(led.where("n > 2"), roots, scratch)

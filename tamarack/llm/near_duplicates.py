@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import Scratch, blocks, keys_for_join, map_arrow, row_key, text_key
-from tamarack.llm.linking import SMALL, link, shared_members
+from tamarack.llm.linking import link, shared_members
 from tamarack.llm.quality_rules import windows_hash, word_hashes
 
 #: Words of a shingle, and the Jaccard similarity of two documents' shingle sets from which they are linked.
@@ -22,6 +22,8 @@ LEAST_SIMILARITY = 0.8
 #: the sets that is verified; at 0.64 (half of the shingles 20 times in one of two texts of set similarity 0.8) it is still 0.96.
 BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
+#: See linking: larger open groups go by an exact join of prefixes, which makes few pairs.
+SMALL, DEPUTIES = 32, 4
 #: Characters of the texts whose signatures are drawn together.
 TOGETHER = 1 << 20
 
@@ -183,7 +185,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> t
     scratch.drop(signed)
     verifier = _Verifier(keyed, scratch)
     fits = F.least("size_a", "size_b") + F.lit(1e-6) >= F.lit(LEAST_SIMILARITY) * F.greatest("size_a", "size_b")
-    roots = link(members, verifier.prepare, scratch, fits=fits, beyond=verifier.beyond, small=SMALL)
+    roots = link(members, verifier.prepare, scratch, fits=fits, beyond=verifier.beyond, small=SMALL, deputies=DEPUTIES)
     rows = source.select(row_key(F.col("id"), F.col("text")).alias("row"), text_key(F.col("text")).alias("node"), "id", _has_words(F.col("text")).alias("worded"))
     rows = scratch.cut(rows, "rows")
     copies = rows.where("worded").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("least"), F.count("*").alias("docs"))
