@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import pickle
 import tempfile
@@ -103,13 +104,27 @@ def keys_for_join(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
+def release() -> None:
+    """Give freed memory of this process back to the system: workers live on from task to task, and each would keep its largest so far."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` whose workers find this package where the driver has it, installed or not."""
+    """``mapInArrow`` whose workers find this package where the driver has it, installed or not, and :func:`release` memory after each task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = df.sparkSession.sparkContext.environment
     if home not in (paths := [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]):
         environment["PYTHONPATH"] = os.pathsep.join([*paths, home])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
 
 
 def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
