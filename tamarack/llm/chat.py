@@ -73,27 +73,49 @@ def format_chats(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     # what stands before the text of turn k: the rest of the block before it and the head of its own
     head = lambda x, k: F.when(F.get("turns", k - 1).role == x.role, F.lit(len(t.join))).otherwise(F.when(k > 0, F.lit(len(t.close))).otherwise(F.lit(0)) + F.lit(len(t.open) + 1) + F.length(x.role))
     sized = F.transform("turns", lambda x, k: F.struct(head(x, k).cast("long").alias("head"), F.length(x.text).cast("long").alias("size"), x.trained.alias("trained")))
-    nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-    spans = F.aggregate(
-        "sized",
-        nothing,
+    # where each text starts, in two levels: an appended list is copied, so none is longer than the square root of the turns
+    run = run.withColumn("sized", sized).withColumn("parts", _in_parts("sized"))
+    sums = F.transform("parts", lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda acc, x: acc + x["head"] + x["size"]))
+    before = F.aggregate(
+        sums,
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")),
+        lambda acc, x: F.struct((acc.at + x).alias("at"), F.array_append(acc.out, acc.at).alias("out")),
+        lambda acc: acc.out,
+    )
+    spans = lambda p, at: F.aggregate(
+        p,
+        F.struct(at.alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
         lambda acc, x: F.struct((acc.at + x["head"] + x["size"]).alias("at"), F.when(x.trained, F.array_append(acc.spans, F.struct((acc.at + x["head"]).alias("start"), x["size"].alias("length")))).otherwise(acc.spans).alias("spans")),
         lambda acc: acc.spans,
     )
-    return run.withColumn("sized", sized).select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"), F.size("starts").cast("long").alias("blocks"))
+    return run.select("conv_id", formatted.alias("formatted"), F.flatten(F.zip_with("parts", before, spans)).alias("loss_spans"), F.size("starts").cast("long").alias("blocks"))
 
 
 def read_chats(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """The rows of :func:`format_chats` with ``turns`` (role, text) and ``loss_texts``, from their output alone."""
+    """The rows of :func:`format_chats` with ``turns`` (role, text) and ``loss_texts``, from their output alone.
+
+    To cut a text walks the string from its start, so the spans are cut from pieces that hold
+    a square root of their number each: the time grows with characters times that root.
+    """
     t = template or Template()
     parts = F.split("formatted", _literal(t.close))
     blocks = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda b: F.substring(b, F.lit(len(t.open) + 1), F.length(b)))
     split = F.transform(blocks, lambda b: F.struct(F.substring_index(b, "\n", 1).alias("role"), F.substring(b, F.length(F.substring_index(b, "\n", 1)) + 2, F.length(b)).alias("rest")))
     role = lambda b: unescape(F.replace(b.role, F.lit(f"{MARK}n"), F.lit("\n")), t)
     turns = F.flatten(F.transform(split, lambda b: F.transform(F.split(b.rest, _literal(t.join)), lambda x: F.struct(role(b).alias("role"), unescape(x, t).alias("text")))))
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring("formatted", (s.start + 1).cast("int"), s.length.cast("int")), t))
+    cut = lambda text, start, length: F.substring(text, (start + 1).cast("int"), length.cast("int"))
+    end = lambda spans: F.element_at(spans, -1).start + F.element_at(spans, -1).length
+    pieces = F.transform(_in_parts("loss_spans"), lambda p: F.struct(p.alias("spans"), F.get(p, 0).start.alias("start"), cut(F.col("formatted"), F.get(p, 0).start, end(p) - F.get(p, 0).start).alias("piece")))
+    loss = F.flatten(F.transform(pieces, lambda p: F.transform(p.spans, lambda s: unescape(cut(p.piece, s.start - p.start, s.length), t))))
     return formatted.withColumn("turns", turns).withColumn("loss_texts", loss)
 
 
+def _in_parts(items: str) -> Column:
+    """The array column in consecutive parts, about as many as each has items; one empty part of an empty array."""
+    most = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items)))).cast("int")
+    last = F.greatest(F.lit(0), F.ceil(F.size(items) / most) - 1).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * most + 1, most))
+
+
 def _literal(text: str) -> str:
     return "\\Q" + text + "\\E"
