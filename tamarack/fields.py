@@ -229,6 +229,11 @@ class ForeignKey(Field):
             if self.how is None:
                 raise ModelError(f"how is one of {', '.join(JOINS)}")
 
+    def struct_field(self) -> T.StructField:
+        made = super().struct_field()
+        refers = {"references": ".".join(filter(None, (self.target_name, self.pk_field)))} if self.db_constraint else {}
+        return T.StructField(made.name, made.dataType, made.nullable, made.metadata | refers | {"on_delete": self.on_delete})
+
     @property
     def target_name(self) -> str:
         return self.to if isinstance(self.to, str) else self.to.name

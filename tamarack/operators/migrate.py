@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tamarack.errors import DataError, GuardError
 from tamarack.fields import Field
 from tamarack.model import Model, Registry
-from tamarack.operators.dml import _checked, _literal, _unique
+from tamarack.operators.dml import _checked, _literal, _references, _unique
 from tamarack.sources.store import Store
 
 #: The order in which actions are applied.
@@ -67,7 +67,7 @@ def _changes(old: T.StructField, new: Field) -> dict:
         found["type"] = [old.dataType.simpleString(), made.dataType.simpleString()]
     if old.nullable != made.nullable:
         found["null"] = [old.nullable, made.nullable]
-    for key in ("primary_key", "unique", "max_length", "default"):
+    for key in ("primary_key", "unique", "max_length", "default", "references", "on_delete", "db_index"):
         a, b = old.metadata.get(key), made.metadata.get(key)
         if a != b:
             found[key] = [a, b]
@@ -85,7 +85,10 @@ def read(path: str) -> list[Step]:
 
 
 def apply(store: Store, registry: Registry, steps: list[Step]) -> int:
-    """Apply a plan in one commit; data that do not fit the new declarations raise DataError, and nothing changes."""
+    """Apply a plan in one commit; data that do not fit the new declarations raise DataError, and nothing changes.
+
+    Foreign keys that are added, or refer to something else than before, are checked on the stored rows.
+    """
     if not registry.settings.change_db:
         raise GuardError("the settings do not allow changes of tables (change_db)")
     manifest = store.manifest()
@@ -118,6 +121,12 @@ def apply(store: Store, registry: Registry, steps: list[Step]) -> int:
             made = _checked(model, frames[name].select(*model.fields))
             _unique(model, made, None)
             tables[name] = {"parts": [store.write_part(model, made)], "schema": json.loads(model.schema().json())}
+    planned = Store(store.spark, registry, store.root)
+    planned.manifest = lambda: {"tables": tables}  # what is about to be committed
+    for name in {s.to or s.table for s in steps if s.action in ("new_model", "rename_table", "add_field", "alter_field")}:
+        asked = {s.field for s in steps if s.table == name and (s.action == "add_field" or "references" in s.changes)}
+        if asked:
+            _references(registry.model(name), planned.load(registry.model(name)), planned, asked)
     return store.commit(manifest | {"tables": tables})
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack import tables
-from tamarack.fields import CharField, FloatField, ForeignKey, IDField, IntegerField
+from tamarack.errors import DataError
+from tamarack.fields import BigIntegerField, CharField, FloatField, ForeignKey, IDField, IntegerField
 from tamarack.functions.expressions import QUARTER, Avg, Case, Cast, Concat, Count, Extract, Max, Min, Over, Q, Qor, Ref, Sum, To_char, Value, When
 from tamarack.model import Model, Registry
 from tamarack.operators import dml, migrate
@@ -344,6 +345,42 @@ def migration(spark, sf_dir):
     return Store(spark, changed, store.root).query("supplier").list()
 
 
+def _customers(spark: SparkSession, sf_dir: str, key) -> Store:
+    """A store of nations, and of customers whose ``c_nationkey`` is the given field."""
+    models = Model("nation", n_nationkey=IntegerField(primary_key=True), n_name=CharField(null=True)), Model("customer", c_custkey=IDField(), c_nationkey=key)
+    store = Store(spark, Registry(*models, settings=Settings(change_data=True, change_db=True)), _folder(spark))
+    read = tables.source(spark, sf_dir)
+    for m in models:
+        dml.bulk_insert(store.query(m.name), read.load(read.registry.model(m.name)).select(*m.fields))
+    return store
+
+
+@register(None, "SELECT CAST(c_custkey AS BIGINT) c_custkey, CASE WHEN c_nationkey <> 3 THEN c_nationkey END c_nationkey FROM customer")
+def delete_set_null(spark, sf_dir):
+    store = _customers(spark, sf_dir, ForeignKey("nation", null=True, on_delete="SET_NULL"))
+    dml.delete(store.query("nation").filter(n_nationkey=3))
+    return store.query("customer").list()
+
+
+@register(None, "SELECT n_nationkey, n_name FROM nation n WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n.n_nationkey)")
+def delete_restrict(spark, sf_dir):
+    """A deletion of all nations is refused; after that, one of those without customers goes through."""
+    store = _customers(spark, sf_dir, ForeignKey("nation", on_delete="RESTRICT"))
+    try:
+        dml.delete(store.query("nation"), allow_delete_all=True)
+    except DataError:
+        dml.delete(store.query("nation").filter({"n_nationkey__@nin": store.query("customer").values("c_nationkey")}))
+    return store.query("nation").list()
+
+
+@register(None, "SELECT CAST(c_custkey AS BIGINT) c_custkey, n_name nation FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def foreign_key_added(spark, sf_dir):
+    store = _customers(spark, sf_dir, BigIntegerField(null=True))
+    changed = Registry(store.registry.model("nation"), Model("customer", c_custkey=IDField(), c_nationkey=ForeignKey("nation")), settings=store.registry.settings)
+    migrate.apply(store, changed, migrate.plan(store, changed))
+    return Store(spark, changed, store.root).query("customer").values("c_custkey", nation=Ref("c_nationkey__n_name")).list()
+
+
 @register(None, "SELECT r_regionkey, r_name FROM region")
 def csv_source(spark, sf_dir):
     folder = _folder(spark)

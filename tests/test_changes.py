@@ -192,3 +192,27 @@ def test_vacuum(store):
     assert sorted(map(str, store.query("player").list().collect())) == was["player"] and sorted(map(str, store.query("note").list().collect())) == was["note"]
     tk.update(store.query("club").filter(id=3), kind="fc")
     assert sorted(map(str, store.query("club").list().collect())) == was["club"]
+
+
+def test_added_foreign_keys_are_checked_on_stored_rows(spark, tmp_path):
+    settings = tk.Settings(change_data=True, change_db=True)
+    plain = tk.Registry(tk.Model("club", id=tk.IDField()), tk.Model("fan", id=tk.IDField(), club=tk.BigIntegerField(null=True)), settings=settings)
+    store = Store(spark, plain, str(tmp_path / "keys"))
+    tk.bulk_insert(store.query("club"), spark.createDataFrame([(1,)], "id long"))
+    tk.bulk_insert(store.query("fan"), spark.createDataFrame([(1, 1), (2, None), (3, 7)], "id long, club long"))
+
+    def keyed(rule):
+        return tk.Registry(tk.Model("club", id=tk.IDField()), tk.Model("fan", id=tk.IDField(), club=tk.ForeignKey("club", null=True, on_delete=rule)), settings=settings)
+
+    before = store.manifest()
+    steps = migrate.plan(store, keyed("CASCADE"))
+    assert [(s.action, s.field, s.changes) for s in steps] == [("alter_field", "club", {"references": [None, "club"], "on_delete": [None, "CASCADE"]})]
+    with pytest.raises(DataError, match="7"):
+        migrate.apply(store, keyed("CASCADE"), steps)
+    assert store.manifest() == before
+    tk.delete(store.query("fan").filter(id=3))
+    migrate.apply(store, keyed("CASCADE"), migrate.plan(store, keyed("CASCADE")))
+    after = Store(spark, keyed("SET_NULL"), store.root)
+    assert migrate.plan(after, keyed("CASCADE")) == []
+    assert [s.changes for s in migrate.plan(after, after.registry)] == [{"on_delete": ["CASCADE", "SET_NULL"]}]
+    assert after.query("fan").count() == 2
