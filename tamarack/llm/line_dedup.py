@@ -16,7 +16,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tamarack.llm.common import BLOCK_CHARS, Scratch, blocks, free_names, keys_for_join, map_arrow, row_key, strings
 from tamarack.llm.edit import within
-from tamarack.llm.linking import SMALL, link, shared_members
+from tamarack.llm.linking import SMALL, Tile, link, shared_members, tiled
 from tamarack.llm.near_duplicates import mix
 
 #: Edit similarity (1 - distance / longer length, in characters of normalised lines) from which lines are one.
@@ -34,6 +34,8 @@ RULING, RULED = 1 / 8, 0.4
 MOST_BITS = 18
 #: A lane of 8 bits counts at most so many words.
 LANE = 255
+#: A line in a tile is compared with so many at first.
+FIRST = 16
 
 _ODD, _U = np.uint64(0x9E3779B97F4A7C15), np.uint64
 #: What each byte of lower-case UTF-8 becomes: ASCII that is no letter or digit a space, line ends themselves.
@@ -249,6 +251,10 @@ class _Verifier:
         one, two = self.forms.select(F.col("node").alias("a"), F.col("form").alias("x")), self.forms.select(F.col("node").alias("b"), F.col("form").alias("y"))
         return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), compare, "a binary, b binary")
 
+    def beyond(self, large: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """All links between different roots of open large groups, each compared as a whole, in tiles."""
+        return tiled(large, self.forms.withColumnRenamed("form", "value"), _linked, self.scratch)
+
 
 def _fits() -> Column:
     """Lengths and SimHashes that similar lines may have."""
@@ -256,12 +262,18 @@ def _fits() -> Column:
     return (F.least("size_a", "size_b") + F.lit(1e-6) >= F.lit(LEAST_SIMILARITY) * F.greatest("size_a", "size_b")) & near
 
 
-def _second(large: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links of open large groups: of those members that share a second block too."""
-    other = members.select("node", F.col("key").alias("other"))
-    both = large.join(other, "node").where("key != other").select(F.least("key", "other").alias("k"), F.greatest("key", "other").alias("o"), "node", "size", "bits", "root")
-    x, y = (both.select("k", "o", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "bits", "root")]) for side in "ab")
-    return verify(x.join(y, ["k", "o"]).where(F.expr("node_a < node_b AND root_a != root_b") & _fits()).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+def _linked(tile: Tile, forms: list[str]) -> Iterator[tuple[int, int]]:
+    """Pairs of a tile that fit, are similar and join roots; each line is compared with some, and with more while it is not joined to their roots."""
+    none = tile.bits == 0
+    for x in tile.asking:
+        y = tile.open(x)
+        size, own = tile.size[y], tile.size[x]
+        near = none[y] | none[x] | (np.bitwise_count(tile.bits[y] ^ tile.bits[x]) <= MOST_BITS)
+        y, some = y[near & (np.minimum(size, own) + 1e-6 >= LEAST_SIMILARITY * np.maximum(size, own))], FIRST
+        while len(y):
+            hit = similar([forms[x]] * min(some, len(y)), [forms[k] for k in y[:some]])
+            yield from ((x, k) for k in y[:some][hit] if tile.join(x, k))
+            y, some = tile.open(x, y[some:]), 4 * some
 
 
 def _removed(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -272,7 +284,8 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> t
     repeated = scratch.cut(repeated, "repeated")
     places = scratch.cut(lines.select("row", "id", "line", "node"), "places")
     members = shared_members(lines.select("node", "size", "keys", "bits"), scratch)
-    roots = link(members, _Verifier(lines, scratch).prepare, scratch, fits=_fits(), beyond=_second, small=SMALL)
+    verifier = _Verifier(lines, scratch)
+    roots = link(members, verifier.prepare, scratch, fits=_fits(), beyond=verifier.beyond, small=SMALL)
     rooted = places.join(keys_for_join(roots), "node", "left").select("row", "id", "line", F.coalesce("root", "node").alias("root"))
     mark = F.xxhash64("root")
     several = rooted.groupBy(mark.alias("mark")).agg(F.count("*").alias("n")).where("n > 1").select("mark")

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import Scratch, keys_for_join
+from tamarack.llm.common import Scratch, keys_for_join, map_arrow
 
 #: Open groups of up to so many members are compared pair by pair, where they are not joined yet.
 SMALL = 256
 #: So many members (to twice as many, about) of an open group of more than twice so many are compared with all others.
 DEPUTIES = 16
+#: Members of a part of an open group, about, and their sizes together; two parts make a tile, which is compared in memory.
+PART, PART_SIZE = 1024, 1 << 20
 
 
 def shared_members(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -47,7 +52,7 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame]
     drawn by hash, which joins most of what copies the copies. In a group that is still open,
     members of different components are compared: pair by pair up to ``small`` members, so the
     work is at most ``small`` pairs a member; in larger groups as ``beyond(groups, members, verify)`` says, which gets all members of the open
-    large groups (key, node, size, bits, root, leader) and gives links between different roots.
+    large groups (key, node, size, bits, root, leader) and gives all links between different roots, as by :func:`tiled`.
     """
     sizes = scratch.cut(members.groupBy("key").agg(F.count("*").alias("n")), "sizes")
     known = scratch.cut(members.join(keys_for_join(sizes), "key").groupBy("node").agg(F.sum("n").alias("known")), "known")
@@ -83,6 +88,62 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame]
     return _joined(roots, made, scratch)
 
 
+def tiled(large: DataFrame, values: DataFrame, compare: Callable[[Tile, list], Iterator[tuple[int, int]]], scratch: Scratch, *, part: int = PART, part_size: int = PART_SIZE) -> DataFrame:
+    """Links (a, b) between different roots of open groups, whatever their size: any two members of a group that may be linked meet in a tile.
+
+    ``large`` has key, node, size, bits and root, ``values`` (node, value) what ``compare`` needs of a
+    node. Members of the root that most of a group has are joined already, so they only meet
+    the others. Both kinds are dealt to parts by hash, and a part of the others is compared within
+    itself, with each other part of them and with each part of the most. A small group is one tile.
+    So a group makes as many rows as it has members times parts of the others, and no rows of pairs: ``compare`` gives
+    those (places in the tile) that join roots.
+    """
+    each = large.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("s"))
+    groups = each.groupBy("key").agg(F.max(F.struct("n", "s", "root")).alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    few = (F.col("n") <= part) & (F.col("s") <= part_size)
+    parts = lambda n, s: F.least(n, F.greatest(F.ceil(n / part), F.ceil(s / part_size)))
+    others = F.when(few, 1).otherwise(parts(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")))
+    groups = groups.select("key", F.col("most.root").alias("most"), others.cast("int").alias("others"), F.when(few, 0).otherwise(parts(F.col("most.n"), F.col("most.s"))).cast("int").alias("mosts"))
+    dealt = large.join(keys_for_join(scratch.cut(groups, "parts")), "key").withColumn("main", F.col("root") == F.col("most"))
+    at = F.when(F.col("main") & (F.col("mosts") > 0), F.expr("others + pmod(xxhash64(node), mosts)")).otherwise(F.expr("pmod(xxhash64(node), others)")).cast("int")
+    tiles = F.expr("transform(sequence(0, CASE WHEN at < others THEN others + mosts ELSE others END - 1), x -> struct(least(at, x) AS i, greatest(at, x) AS j))")
+    dealt = dealt.withColumn("at", at).select("key", F.explode(tiles).alias("t"), "at", "main", "node", "size", "bits", "root").join(values, "node")
+    tasks = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # told, since rows that are few take long
+    dealt = dealt.select("key", "t.i", "t.j", "at", "main", "node", "size", "bits", "root", "value").repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        for (_, i, j), members in groupby(rows, key=lambda row: row[:3]):
+            _, _, _, side, main, nodes, size, bits, root, values = zip(*members, strict=True)
+            number = {r: k for k, r in enumerate(set(root))}
+            tile = Tile(np.array(main), np.array([number[r] for r in root]), np.array(size), np.array(bits, np.int64).view(np.uint64), np.array(side) if i < j else None)
+            links = list(compare(tile, values))
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[pair[k]] for pair in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return map_arrow(dealt, run, "a binary, b binary")
+
+
+class Tile:
+    """Members of an open group that are compared in memory; roots that a link joins are one from then on."""
+
+    def __init__(self, main: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray, side: np.ndarray | None):
+        self.main, self.root, self.size, self.bits, self.side = main, root, size, bits, side
+        self.asking = np.flatnonzero(~main)
+
+    def open(self, x: int, among: np.ndarray | None = None) -> np.ndarray:
+        """Members that ``x``, one of ``asking``, is to be compared with, each pair once; perhaps only some of these."""
+        y = np.arange(len(self.root)) if among is None else among
+        ok = (self.root[y] != self.root[x]) & (self.main[y] | (y > x))
+        return y[ok & (self.side[y] != self.side[x])] if self.side is not None else y[ok]
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart till now."""
+        old, new = self.root[y], self.root[x]
+        if old != new:
+            self.root[self.root == old] = new
+        return old != new
+
+
 def _rooted(led: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """The members with the root of the component that each is part of."""
     return scratch.cut(led.join(keys_for_join(roots), "node", "left").select("key", "node", "size", "bits", F.coalesce("root", "node").alias("root"), "leader", "n"), "rooted")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tamarack.llm import line_dedup as L
+from tamarack.llm import linking
 from tamarack.llm.edit import aligned, distance, within
 
 SCHEMA = "doc_id long, text string, line int, n string"
@@ -238,3 +240,38 @@ def test_open_large_groups_by_a_second_block(spark, monkeypatch):
     kept, _ = brute(rows)
     got = L.dedup_lines(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA).withColumnRenamed("n", "m")).collect()
     assert sum(r.n_removed for r in got) == len(lines) - len(kept) and len(kept) <= 26
+
+
+def crowd(seed, couples):
+    """Lines that share one block, of three words; the two of a couple have most of their other words in common, in which they are like no other line."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    group = lambda w: int((L._words([w.encode()])[0] * L._ODD)[0]) >> 60  # noqa: E731  of lines of 24 to 47 words
+    pick = lambda ok: next(w for w in iter(word, None) if ok(group(w)))
+    base, lines = [pick(lambda g: g == 3) for _ in range(3)], []
+    for _ in range(couples):
+        own = base + [pick(lambda g: g != 3) for _ in range(21)]
+        other = list(own)
+        for k in rng.sample(range(3, 24), 4):
+            other[k] = pick(lambda g: g != 3)
+        lines += [" ".join(own), " ".join(other)] if L.similar([" ".join(own)], [" ".join(other)]) == [True] else []
+    return lines
+
+
+def single_key_links(lines):
+    """How many links there are whose two lines share one key only."""
+    found = keys_of([x.encode() for x in lines])
+    shared = [(a, b, x.keys() & y.keys()) for a, x in enumerate(found) for b, y in enumerate(found[:a])]
+    return sum(len(s) == 1 and meet(found[a], found[b]) and all(L.similar([lines[a]], [lines[b]])) for a, b, s in shared)
+
+
+@pytest.mark.parametrize("part", [40, 4096])
+def test_open_large_groups_lose_no_link(spark, monkeypatch, part):
+    """Also those of two lines that share only one key, of a group above the bound for pairs, in one tile and in several."""
+    monkeypatch.setattr(L, "tiled", lambda *a: linking.tiled(*a, part=part))
+    lines = crowd(11, 150)
+    rows = list(enumerate(lines))
+    kept, _ = brute(rows)
+    assert single_key_links(lines) > 3 and max(Counter(k for x in keys_of([x.encode() for x in lines]) for k in x).values()) > L.SMALL
+    got = L.dedup_lines(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA).withColumnRenamed("n", "m")).collect()
+    assert {r.doc_id for r in got if not r.n_removed} == {d for v in kept.values() for d, _ in v}
