@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+
+
 def trimmed(a: Sequence, b: Sequence) -> tuple[Sequence, Sequence]:
     """Without the common prefix, found by bisection, then without the common suffix."""
     low, high = 0, min(len(a), len(b))
@@ -80,14 +83,101 @@ def aligned(a: str, b: str, most: int) -> bool:
     return cost + sum(map(len, x[i:])) + len(x) - i + sum(map(len, y[j:])) + len(y) - j <= most
 
 
+#: Characters fall into so many symbols: letters and digits of ASCII and the space by themselves, all others by their remainder.
+SYMBOLS, PLAIN = 64, 37
+#: Pairs whose distances are computed together, and the longest texts that go there.
+TOGETHER, LONGEST = 2048, 1024
+_SYMBOL = np.array([ord(c) - 97 if "a" <= c <= "z" else 26 + int(c) if c in "0123456789" else 36 if c == " " else PLAIN + ord(c) % (SYMBOLS - PLAIN) for c in map(chr, range(128))], np.int64)
+
+
+def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of all texts in a row, and of each its text and its place there."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    text = np.repeat(np.arange(len(texts)), size)
+    return np.where(codes < 128, _SYMBOL[np.minimum(codes, 127)], PLAIN + codes.astype(np.int64) % (SYMBOLS - PLAIN)), text, np.arange(len(codes)) - (np.cumsum(size) - size)[text]
+
+
+#: Two symbols that follow each other fall into so many bins.
+BINS = 256
+
+
+def least_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Half of the twos of symbols that one text of a pair has and the other has not, each text in turn: an edit makes and breaks at most two."""
+    counts = []
+    for texts in (a, b):
+        symbol, text, _ = _symbols(texts)
+        follows = text[1:] == text[:-1]
+        counts.append(np.bincount((text[1:] * BINS + (symbol[1:] * 37 + symbol[:-1]) % BINS)[follows], minlength=len(texts) * BINS).reshape(-1, BINS))
+    more = counts[0] - counts[1]
+    over = np.maximum(more, 0).sum(1)
+    return (np.maximum(over, over - more.sum(1)) + 1) // 2
+
+
+def symbol_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Levenshtein distances of the symbols of pairs of texts that are not empty, many at a time: never above those of the texts.
+
+    The bit-parallel steps of :func:`distance` in words of 64 bits, for one column of all pairs at a
+    time. Pairs are best given by rising size.
+    """
+    pairs, one = len(a), np.uint64(1)
+    m, n = (np.fromiter(map(len, x), np.int64, pairs) for x in (a, b))
+    order = np.argsort(-n, kind="stable")
+    a, b, m, n = [a[k] for k in order], [b[k] for k in order], m[order], n[order]
+    words = int(m.max() + 63) // 64
+    where = np.zeros((words, pairs * SYMBOLS), np.uint64)
+    symbol, text, place = _symbols(a)
+    np.add.at(where.ravel(), (place // 64) * (pairs * SYMBOLS) + text * SYMBOLS + symbol, one << (place % 64).astype(np.uint64))
+    symbol, text, place = _symbols(b)
+    column = np.zeros((int(n.max()), pairs), np.int64)
+    column[place, text] = text * SYMBOLS + symbol
+    plus, minus = np.full((words, pairs), ~np.uint64(0)), np.zeros((words, pairs), np.uint64)
+    last, end, score = (m - 1) // 64, ((m - 1) % 64).astype(np.uint64), m.copy()
+    active = np.searchsorted(-n, -np.arange(1, len(column) + 1), side="right")  # of so many the text has that column
+    ends = [np.flatnonzero(last == w) for w in range(words)]
+    for j, live in enumerate(active):
+        up_in, down_in = np.ones(live, np.uint64), np.zeros(live, np.uint64)  # the row above rises by one a column
+        for w in range(words):
+            p, q = plus[w, :live], minus[w, :live]
+            eq = where[w].take(column[j, :live])
+            rise = eq | q
+            eq |= down_in
+            x = (((eq & p) + p) ^ p) | eq
+            up, down = q | ~(x | p), p & x
+            mine = ends[w][: np.searchsorted(ends[w], live)]
+            score[mine] += ((up[mine] >> end[mine]) & one).astype(np.int64) - ((down[mine] >> end[mine]) & one).astype(np.int64)
+            above, below = up >> np.uint64(63), down >> np.uint64(63)
+            up, down = (up << one) | up_in, (down << one) | down_in
+            plus[w, :live], minus[w, :live] = down | ~(rise | up), up & rise
+            up_in, down_in = above, below
+    out = np.empty(pairs, np.int64)
+    out[order] = score
+    return out
+
+
 def within(a: list[str], b: list[str], share: float) -> list[bool]:
-    """Whether the distance of each two texts is at most ``share`` of the longer one's length."""
-    out = []
-    for x, y in zip(a, b, strict=True):
+    """Whether the distance of each two texts is at most ``share`` of the longer one's length.
+
+    Most unlike texts are refused by lower bounds, for many pairs at a time; what is left is
+    aligned, and compared by characters if that does not accept it.
+    """
+    out, asked = [], []
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
         most = int(share * max(len(x), len(y)) + 1e-9)
         if abs(len(x) - len(y)) > most:
             out.append(False)
             continue
-        x, y = trimmed(x, y)
-        out.append(len(x) + len(y) <= most or aligned(x, y, most) or distance(x, y, most) <= most)
+        x, y = trimmed(x, y) if len(x) <= len(y) else trimmed(y, x)
+        out.append(len(y) <= most)  # the longer one; more edits are never needed
+        if not out[-1]:
+            asked.append((k, x, y, most))
+    bounded = sorted((p for p in asked if p[1] and len(p[2]) <= LONGEST), key=lambda p: len(p[1]))
+    left = [p for p in asked if not p[1] or len(p[2]) > LONGEST]
+    for at in range(0, len(bounded), TOGETHER):
+        some = bounded[at : at + TOGETHER]
+        for bound in (least_distances, symbol_distances):
+            some = [p for p, d in zip(some, bound([p[1] for p in some], [p[2] for p in some]).tolist(), strict=True) if d <= p[3]] if some else some
+        left += some
+    for k, x, y, most in left:
+        out[k] = aligned(x, y, most) or distance(x, y, most) <= most
     return out

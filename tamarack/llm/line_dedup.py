@@ -34,8 +34,8 @@ RULING, RULED = 1 / 8, 0.4
 MOST_BITS = 18
 #: A lane of 8 bits counts at most so many words.
 LANE = 255
-#: A line in a tile is compared with so many at first.
-FIRST = 16
+#: A line in a tile is compared with so many at first; of the pairs of all lines, so many at a time.
+FIRST, ASKED = 16, 2048
 
 _ODD, _U = np.uint64(0x9E3779B97F4A7C15), np.uint64
 #: What each byte of lower-case UTF-8 becomes: ASCII that is no letter or digit a space, line ends themselves.
@@ -264,16 +264,20 @@ def _fits() -> Column:
 
 def _linked(tile: Tile, forms: list[str]) -> Iterator[tuple[int, int]]:
     """Pairs of a tile that fit, are similar and join roots; each line is compared with some, and with more while it is not joined to their roots."""
-    none = tile.bits == 0
-    for x in tile.asking:
+    none, left, some = tile.bits == 0, {}, FIRST
+    for x in tile.asking.tolist():
         y = tile.open(x)
         size, own = tile.size[y], tile.size[x]
         near = none[y] | none[x] | (np.bitwise_count(tile.bits[y] ^ tile.bits[x]) <= MOST_BITS)
-        y, some = y[near & (np.minimum(size, own) + 1e-6 >= LEAST_SIMILARITY * np.maximum(size, own))], FIRST
-        while len(y):
-            hit = similar([forms[x]] * min(some, len(y)), [forms[k] for k in y[:some]])
-            yield from ((x, k) for k in y[:some][hit] if tile.join(x, k))
-            y, some = tile.open(x, y[some:]), 4 * some
+        left[x] = y[near & (np.minimum(size, own) + 1e-6 >= LEAST_SIMILARITY * np.maximum(size, own))]
+    while left:
+        asked = [(x, k) for x, y in left.items() for k in y[:some].tolist()]
+        for at in range(0, len(asked), ASKED):
+            pairs = [(x, y) for x, y in asked[at : at + ASKED] if tile.root[x] != tile.root[y]]
+            hit = similar([forms[x] for x, _ in pairs], [forms[y] for _, y in pairs])
+            yield from (p for p, h in zip(pairs, hit, strict=True) if h and tile.join(*p))
+        left = {x: y for x, y in ((x, tile.open(x, y[some:])) for x, y in left.items() if len(y) > some) if len(y)}
+        some *= 4
 
 
 def _removed(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

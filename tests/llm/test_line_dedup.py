@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from tamarack.llm import line_dedup as L
 from tamarack.llm import linking
-from tamarack.llm.edit import aligned, distance, within
+from tamarack.llm.edit import aligned, distance, least_distances, symbol_distances, within
 
 SCHEMA = "doc_id long, text string, line int, n string"
 
@@ -68,6 +68,18 @@ def test_aligned_words():
     assert accepted > 200
 
 
+def test_bounds_of_many_pairs():
+    """Of texts of all lengths around 64 and 128: exact where each character has a symbol of its own, never above the distance elsewhere."""
+    rng = random.Random(7)
+    for alphabet in ("ab ", "abcdefghijklmnop 0123", "aé漢🙂xб٣\n-"):
+        a = ["".join(rng.choices(alphabet, k=rng.choice([1, 2, 63, 64, 65, 127, 128, 129, 200]))) for _ in range(120)]
+        b = ["".join(rng.choice(alphabet) if rng.random() < rng.choice([0, 0.1, 0.5]) else c for c in x if rng.random() < 0.9) or "a" for x in a]
+        want = np.array([edits(x, y) for x, y in zip(a, b, strict=True)])
+        got = symbol_distances(a, b)
+        assert (got == want).all() if alphabet.isascii() else (got <= want).all() and got.sum() > want.sum() / 2
+        assert (least_distances(a, b) <= want).all() and least_distances(a, b).max() > 10
+
+
 def test_normalise_and_sim_hash():
     for text in ("", " ", "\n", " \n a \n\n  b\t\tc ", "x  y \r\n  \r\n.", "Ⅳ İ\x1c\x85z\u2028w\x0bq"):
         assert L.normalise(text) == [b" ".join(x.split()) for x in text.lower().encode().translate(L._PLAIN).split(b"\n")]
