@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import Scratch, blocks, keys_for_join, map_arrow, row_key, text_key
-from tamarack.llm.linking import link, shared_members
+from tamarack.llm.linking import Tile, link, shared_members, tiled
 from tamarack.llm.quality_rules import windows_hash, word_hashes
 
 #: Words of a shingle, and the Jaccard similarity of two documents' shingle sets from which they are linked.
@@ -22,7 +22,7 @@ LEAST_SIMILARITY = 0.8
 #: the sets that is verified; at 0.64 (half of the shingles 20 times in one of two texts of set similarity 0.8) it is still 0.96.
 BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
-#: See linking: larger open groups go by an exact join of prefixes, which makes few pairs.
+#: See linking: larger open groups go by an exact join of prefixes in tiles, which asks for few pairs.
 SMALL, DEPUTIES = 32, 4
 #: Characters of the texts whose signatures are drawn together.
 TOGETHER = 1 << 20
@@ -106,14 +106,16 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def prefix(own: np.ndarray, leader: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, those that the leader lacks before those that it has.
+def prefix(own: np.ndarray, leader: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a set, as they are ordered, or those that the leader lacks before those that it has.
 
     Sets of similarity LEAST_SIMILARITY share that part of each, so by one order in both
     their first common shingle is among so many of either.
     """
-    had = np.isin(own, leader, assume_unique=True)
-    return np.concatenate([own[~had], own[had]])[: len(own) - math.ceil(LEAST_SIMILARITY * len(own) - 1e-9) + 1]
+    if leader is not None:
+        had = np.isin(own, leader, assume_unique=True)
+        own = np.concatenate([own[~had], own[had]])
+    return own[: len(own) - math.ceil(LEAST_SIMILARITY * len(own) - 1e-9) + 1]
 
 
 class _Verifier:
@@ -145,31 +147,43 @@ class _Verifier:
         return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), compare, "a binary, b binary")
 
     def beyond(self, large: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """All links between different roots of open large groups, by an exact prefix-filter join within each group.
+        """All links between different roots of open large groups, by an exact prefix-filter join in tiles; groups of one leader are one."""
+        stars = large.select(F.xxhash64("leader").alias("key"), "node", "size", "bits", "root").distinct()
+        return tiled(stars, self.sets.withColumnRenamed("shingles", "value"), _linked, self.scratch)
 
-        Not compared are members that are joined already, and those whose first common
-        shingle stands so late that too few can follow, as where only a passage is shared.
-        """
-        scratch, sets = self.scratch, self.sets
-        stars = large.select("leader", "node", "root").distinct()
 
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for node, root, leader, p, q in zip(*batch.columns, strict=True):  # one member at a time
-                    x, salt = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(leader.as_buffer(), np.uint64)[:1]
-                    keys = mix(prefix(x, np.frombuffer(q.as_buffer(), np.uint64)) ^ mix(salt))
-                    n = len(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([node.as_py()] * n, pa.binary()), pa.array([root.as_py()] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, len(x), np.int32))], names=["key", "node", "root", "at", "size"])
-
-        both = stars.join(sets, "node").join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("theirs")), "leader")
-        found = scratch.cut(map_arrow(both.select("node", "root", "leader", "shingles", "theirs"), cut, "key long, node binary, root binary, at int, size int"), "prefixes")
-        mark = F.xxhash64("root")
-        parted = found.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low != high").select("key")
-        met = found.join(keys_for_join(scratch.cut(parted, "parted")), "key", "left_semi")
-        x, y = (met.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "at", "size")]) for side in "ab")
-        possible = F.least(F.expr("size_a - at_a"), F.expr("size_b - at_b")) * (1 + LEAST_SIMILARITY) + 1e-6 >= LEAST_SIMILARITY * F.expr("size_a + size_b")
-        pairs = x.join(y, "key").where(F.expr("node_a < node_b AND root_a != root_b") & possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        return verify(pairs)
+def _linked(tile: Tile, values: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Pairs of a tile of LEAST_SIMILARITY or more that join roots.
+
+    Only sets whose prefixes meet are compared, the rarest shingles of the tile first in all of
+    them, and not those whose first common one stands so late that too few can follow.
+    """
+    size = tile.size.astype(np.int64)
+    which, found, times = np.unique(np.frombuffer(b"".join(values), np.uint64), return_inverse=True, return_counts=True)
+    rank = np.empty(len(which), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(which))
+    ends = np.cumsum(size)
+    sets = [np.sort(x) for x in np.split(rank[found], ends[:-1])]
+    firsts = [prefix(x) for x in sets]
+    member = np.repeat(np.arange(len(sets)), list(map(len, firsts)))
+    token, place = np.concatenate(firsts), np.concatenate([np.arange(len(x)) for x in firsts])
+    order = np.argsort(token, kind="stable")
+    token, member, place = token[order], member[order], place[order]
+    start, stop = (np.searchsorted(token, np.arange(len(which)), side=s) for s in ("left", "right"))
+    held = np.zeros(len(which), bool)
+    for x in tile.asking.tolist():
+        at = np.concatenate([np.arange(start[t], stop[t]) for t in firsts[x]])
+        own = np.repeat(np.arange(len(firsts[x])), stop[firsts[x]] - start[firsts[x]])
+        y, follow = member[at], np.minimum(size[x] - own, size[member[at]] - place[at])
+        y = tile.open(x, np.unique(y[follow * (1 + LEAST_SIMILARITY) + 1e-6 >= LEAST_SIMILARITY * (size[x] + size[y])]))
+        held[sets[x]] = True
+        for k in y.tolist():
+            if tile.root[k] != tile.root[x]:
+                both = int(held[sets[k]].sum())
+                if both / (len(sets[x]) + len(sets[k]) - both) >= LEAST_SIMILARITY:
+                    tile.join(x, k)
+                    yield x, k
+        held[sets[x]] = False
 
 
 def _has_words(text: Column) -> Column:

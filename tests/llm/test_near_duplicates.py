@@ -105,6 +105,31 @@ def test_couples_around_a_common_passage(spark, monkeypatch, small):
     assert sorted(sorted(v) for v in by.values()) == want
 
 
+@pytest.mark.parametrize("part", [16, 1024])
+def test_open_large_groups_make_no_row_per_shingle(spark, monkeypatch, part):
+    """Rows of tiles are members times parts, in one tile and in several; no link is lost."""
+    made, cut = {}, Scratch.cut
+
+    def kept(self, df, name):
+        out = cut(self, df, name)
+        made.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(N, "SMALL", 8)
+    monkeypatch.setattr(N, "tiled", lambda *a: linking.tiled(*a, part=part))
+    monkeypatch.setattr(Scratch, "cut", kept)
+    monkeypatch.setattr(Scratch, "drop", lambda *a: None)
+    rows = list(enumerate(t for seed in range(2) for t in around_a_passage(seed, 40))) + list(enumerate(family(1, 150), 1000))
+    by = {}
+    for r in N.near_duplicates(spark.createDataFrame([(*r, "n", 5) for r in rows], SCHEMA)).collect():
+        by.setdefault(r.class_id, []).append(str(r.id))
+    assert sorted(sorted(v) for v in by.values()) == brute(rows)
+    large = made["open-large"][0].select("leader", "node").distinct().count()
+    wide = {name: max(t.count() for t in tables) for name, tables in made.items() if name not in ("signatures", "members", "rows")}
+    assert large > 50 and "prefixes" not in made and made["links-large"][0].count() < large
+    assert wide["parts"] <= made["open-large"][0].select("leader").distinct().count()
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(3)
     for n in [*range(1, 30), 200, 333]:
