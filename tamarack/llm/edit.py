@@ -85,8 +85,8 @@ def aligned(a: str, b: str, most: int) -> bool:
 
 #: Characters fall into so many symbols: letters and digits of ASCII and the space by themselves, all others by their remainder.
 SYMBOLS, PLAIN = 64, 37
-#: Pairs whose distances are computed together, and the longest texts that go there.
-TOGETHER, LONGEST = 2048, 1024
+#: Pairs whose distances are computed together, with so many characters at most, and the longest texts that go there.
+TOGETHER, TOGETHER_CHARS, LONGEST = 2048, 1 << 18, 1024
 _SYMBOL = np.array([ord(c) - 97 if "a" <= c <= "z" else 26 + int(c) if c in "0123456789" else 36 if c == " " else PLAIN + ord(c) % (SYMBOLS - PLAIN) for c in map(chr, range(128))], np.int64)
 
 
@@ -129,7 +129,7 @@ def symbol_distances(a: list[str], b: list[str]) -> np.ndarray:
     symbol, text, place = _symbols(a)
     np.add.at(where.ravel(), (place // 64) * (pairs * SYMBOLS) + text * SYMBOLS + symbol, one << (place % 64).astype(np.uint64))
     symbol, text, place = _symbols(b)
-    column = np.zeros((int(n.max()), pairs), np.int64)
+    column = np.zeros((int(n.max()), pairs), np.int32)
     column[place, text] = text * SYMBOLS + symbol
     plus, minus = np.full((words, pairs), ~np.uint64(0)), np.zeros((words, pairs), np.uint64)
     last, end, score = (m - 1) // 64, ((m - 1) % 64).astype(np.uint64), m.copy()
@@ -171,10 +171,12 @@ def within(a: list[str], b: list[str], share: float) -> list[bool]:
         out.append(len(y) <= most)  # the longer one; more edits are never needed
         if not out[-1]:
             asked.append((k, x, y, most))
-    bounded = sorted((p for p in asked if p[1] and len(p[2]) <= LONGEST), key=lambda p: len(p[1]))
+    bounded = sorted((p for p in asked if p[1] and len(p[2]) <= LONGEST), key=lambda p: len(p[2]))
     left = [p for p in asked if not p[1] or len(p[2]) > LONGEST]
-    for at in range(0, len(bounded), TOGETHER):
-        some = bounded[at : at + TOGETHER]
+    while bounded:
+        many = min(TOGETHER, TOGETHER_CHARS // len(bounded[-1][2]))  # the last one is the longest
+        some = bounded[-many:]
+        del bounded[-many:]
         for bound in (least_distances, symbol_distances):
             some = [p for p, d in zip(some, bound([p[1] for p in some], [p[2] for p in some]).tolist(), strict=True) if d <= p[3]] if some else some
         left += some

@@ -5,6 +5,8 @@ import random
 from tamarack.llm import near_duplicates
 from tamarack.llm import pipeline as P
 
+from .test_line_dedup import brute, crowd
+
 
 def corpus(tmp_path, spark):
     rng = random.Random(6)
@@ -73,3 +75,11 @@ def test_stages_on_odd_tables(spark, tmp_path):
     # repeats too much; of rows that repeat one keeps its line; one of a class; no benchmark item; each row is packed
     assert kept == {"quality rules": [], "line dedup": [None, same], "near duplicates": 2, "decontamination": 3, "packing": 3}
     assert near_duplicates.SHINGLE == 5
+
+
+def test_line_stage_loses_no_link_of_a_large_open_group(spark):
+    """Lines that share one block with their like only, in a group above the bound for pairs: one document of each couple stays."""
+    rows = list(enumerate(crowd(13, 150)))
+    kept, _ = brute(rows)
+    left = P.lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in left.collect()} == {d for v in kept.values() for d, _ in v}
