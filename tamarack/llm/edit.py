@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -83,11 +84,11 @@ def aligned(a: str, b: str, most: int) -> bool:
     return cost + sum(map(len, x[i:])) + len(x) - i + sum(map(len, y[j:])) + len(y) - j <= most
 
 
-#: Characters fall into so many symbols: letters and digits of ASCII and the space by themselves, all others by their remainder.
+#: Characters fall into so many symbols: letters and digits of ASCII and the space by themselves, all others by their remainder; the last one fills texts up.
 SYMBOLS, PLAIN = 64, 37
-#: Pairs whose distances are computed together, with so many characters at most, and the longest texts that go there.
-TOGETHER, TOGETHER_CHARS, LONGEST = 2048, 1 << 18, 1024
-_SYMBOL = np.array([ord(c) - 97 if "a" <= c <= "z" else 26 + int(c) if c in "0123456789" else 36 if c == " " else PLAIN + ord(c) % (SYMBOLS - PLAIN) for c in map(chr, range(128))], np.int64)
+#: Pairs whose distances are computed together have so many characters at most, and are so many at least; longer texts go by themselves.
+TOGETHER_CHARS, ABREAST, LONGEST = 1 << 19, 20, 8192
+_SYMBOL = np.array([ord(c) - 97 if "a" <= c <= "z" else 26 + int(c) if c in "0123456789" else 36 if c == " " else PLAIN + ord(c) % (SYMBOLS - 1 - PLAIN) for c in map(chr, range(128))], np.int64)
 
 
 def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,91 +96,164 @@ def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     text = np.repeat(np.arange(len(texts)), size)
-    return np.where(codes < 128, _SYMBOL[np.minimum(codes, 127)], PLAIN + codes.astype(np.int64) % (SYMBOLS - PLAIN)), text, np.arange(len(codes)) - (np.cumsum(size) - size)[text]
+    return np.where(codes < 128, _SYMBOL[np.minimum(codes, 127)], PLAIN + codes.astype(np.int64) % (SYMBOLS - 1 - PLAIN)), text, np.arange(len(codes)) - (np.cumsum(size) - size)[text]
 
 
-#: Two symbols that follow each other fall into so many bins.
-BINS = 256
+#: Three symbols that follow each other fall into so many bins; pairs of which the bins are held at a time.
+BINS, HELD = 2048, 1024
+
+
+def _bins(texts: list[str]) -> np.ndarray:
+    """How often each text has threes of symbols of each bin."""
+    out, size = np.empty((len(texts), BINS), np.int16), np.cumsum([0, *map(len, texts)])
+    start = 0
+    while start < len(texts):
+        end = max(int(np.searchsorted(size, size[start] + (1 << 16), side="right")) - 1, start + 1)
+        symbol, text, _ = _symbols(texts[start:end])
+        three = (symbol[2:] * 4099 + symbol[1:-1] * 641 + symbol[:-2] * 67) % BINS + text[2:] * BINS
+        counts = np.bincount(three[text[2:] == text[:-2]], minlength=(end - start) * BINS)
+        out[start:end] = np.minimum(counts, 32767).reshape(-1, BINS)
+        start = end
+    return out
 
 
 def least_distances(a: list[str], b: list[str]) -> np.ndarray:
-    """Half of the twos of symbols that one text of a pair has and the other has not, each text in turn: an edit makes and breaks at most two."""
-    counts = []
-    for texts in (a, b):
-        symbol, text, _ = _symbols(texts)
-        follows = text[1:] == text[:-1]
-        counts.append(np.bincount((text[1:] * BINS + (symbol[1:] * 37 + symbol[:-1]) % BINS)[follows], minlength=len(texts) * BINS).reshape(-1, BINS))
-    more = counts[0] - counts[1]
-    over = np.maximum(more, 0).sum(1)
-    return (np.maximum(over, over - more.sum(1)) + 1) // 2
-
-
-def symbol_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """A third of the threes of symbols that one text of a pair has and the other has not, each text in turn: an edit makes and breaks at most three."""
+    out = np.empty(len(a), np.int64)
+    for at in range(0, len(a), HELD):
+        mine = slice(at, at + HELD)
+        number: dict = {}
+        x, y = (np.array([number.setdefault(t, len(number)) for t in texts[mine]]) for texts in (a, b))
+        bins = _bins(list(number))
+        for k in range(0, len(x), 64):
+            more = bins[x[k : k + 64]] - bins[y[k : k + 64]]
+            over = np.maximum(more, 0).sum(1, dtype=np.int64)
+            out[at + k : at + k + len(more)] = (np.maximum(over, over - more.sum(1, dtype=np.int64)) + 2) // 3
+    return out
+
+
+def symbol_distances(a: Sequence[str], b: Sequence[str], most: np.ndarray | None = None) -> np.ndarray:
     """Levenshtein distances of the symbols of pairs of texts that are not empty, many at a time: never above those of the texts.
 
-    The bit-parallel steps of :func:`distance` in words of 64 bits, for one column of all pairs at a
-    time. Pairs are best given by rising size.
+    With ``most``, of each pair what it may be: larger distances come as some number above it. The
+    bit-parallel steps of :func:`distance` in words of 64 bits. A word is a column behind the word
+    above it, so all words of all pairs take a step together; those that no path of ``most`` edits
+    reaches are left out (a path that leaves the diagonals between the first and the last cell
+    must come back), and the row above the first one is taken to rise by one a column, which is a
+    path too. Both texts of a pair are filled up alike, to one length of the longer ones. Pairs
+    are best given by rising size.
     """
     pairs, one = len(a), np.uint64(1)
+    a, b = zip(*[(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)], strict=True)
     m, n = (np.fromiter(map(len, x), np.int64, pairs) for x in (a, b))
-    order = np.argsort(-n, kind="stable")
-    a, b, m, n = [a[k] for k in order], [b[k] for k in order], m[order], n[order]
-    words = int(m.max() + 63) // 64
-    where = np.zeros((words, pairs * SYMBOLS), np.uint64)
-    symbol, text, place = _symbols(a)
-    np.add.at(where.ravel(), (place // 64) * (pairs * SYMBOLS) + text * SYMBOLS + symbol, one << (place % 64).astype(np.uint64))
-    symbol, text, place = _symbols(b)
-    column = np.zeros((int(n.max()), pairs), np.int32)
-    column[place, text] = text * SYMBOLS + symbol
+    most = n if most is None else np.asarray(most, np.int64)
+    out, lanes, apart, columns = most + 1, np.arange(pairs), n - m, int(n.max())
+    words = (columns + 63) // 64
+    where = np.zeros((words, pairs, SYMBOLS), np.uint64)
+    symbol, text, place = _symbols(list(a))
+    np.bitwise_or.at(where.ravel(), ((place // 64) * pairs + text) * SYMBOLS + symbol, one << (place % 64).astype(np.uint64))
+    for k in range(words):  # rows from m on
+        fill = np.clip(m - 64 * k, 0, 64)
+        where[k, :, SYMBOLS - 1] = np.where(fill < 64, ~np.uint64(0) << np.minimum(fill, 63).astype(np.uint64), np.uint64(0))
+    symbol, text, place = _symbols(list(b))
+    column = np.full((columns, pairs), SYMBOLS - 1, np.int64)
+    column[place, text] = symbol
+    column += np.arange(pairs) * SYMBOLS
+    where, row = where.ravel(), np.arange(words)[:, None] * (pairs * SYMBOLS)
     plus, minus = np.full((words, pairs), ~np.uint64(0)), np.zeros((words, pairs), np.uint64)
-    last, end, score = (m - 1) // 64, ((m - 1) % 64).astype(np.uint64), m.copy()
-    active = np.searchsorted(-n, -np.arange(1, len(column) + 1), side="right")  # of so many the text has that column
-    ends = [np.flatnonzero(last == w) for w in range(words)]
-    for j, live in enumerate(active):
-        up_in, down_in = np.ones(live, np.uint64), np.zeros(live, np.uint64)  # the row above rises by one a column
-        for w in range(words):
-            p, q = plus[w, :live], minus[w, :live]
-            eq = where[w].take(column[j, :live])
-            rise = eq | q
-            eq |= down_in
-            x = (((eq & p) + p) ^ p) | eq
-            up, down = q | ~(x | p), p & x
-            mine = ends[w][: np.searchsorted(ends[w], live)]
-            score[mine] += ((up[mine] >> end[mine]) & one).astype(np.int64) - ((down[mine] >> end[mine]) & one).astype(np.int64)
-            above, below = up >> np.uint64(63), down >> np.uint64(63)
-            up, down = (up << one) | up_in, (down << one) | down_in
-            plus[w, :live], minus[w, :live] = down | ~(rise | up), up & rise
-            up_in, down_in = above, below
-    out = np.empty(pairs, np.int64)
-    out[order] = score
+    ups, downs = np.ones((words + 1, pairs), np.uint64), np.zeros((words + 1, pairs), np.uint64)  # into each word
+
+    def reach() -> tuple[int, int]:
+        """Rows above and below the column's number that are reached."""
+        back = np.maximum(most - apart, 0) // 2
+        return int((apart + back).max()), int(back.max())
+
+    def risen(word: np.ndarray | int) -> np.ndarray:
+        return np.bitwise_count(plus[word]).astype(np.int64) - np.bitwise_count(minus[word])
+
+    def down_to(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The steps down the first rows (1 to 64) of a word of each lane."""
+        mask, k = ~np.uint64(0) >> (64 - rows).astype(np.uint64), np.arange(len(w))
+        return np.bitwise_count(plus[w, k] & mask).astype(np.int64) - np.bitwise_count(minus[w, k] & mask)
+
+    (above, below), words_of = reach(), np.arange(words)[:, None]
+    for s in range(columns + words - 1):
+        low, high = max(-((63 + above - s) // 65), s - columns + 1, 0), min((s + below) // 65, words - 1, s)
+        here, after = slice(low, high + 1), slice(low + 1, high + 2)
+        eq = where.take(column[s - high : s - low + 1][::-1] + row[here])
+        p, q, down_in = plus[here], minus[here], downs[here]
+        rise = eq | q
+        eq |= down_in
+        x = eq & p
+        x += p
+        x ^= p
+        x |= eq
+        up, down = q | ~(x | p), p & x
+        up_out, down_out = up >> np.uint64(63), down >> np.uint64(63)
+        up <<= one
+        up |= ups[here]
+        down <<= one
+        down |= down_in
+        plus[here], minus[here] = down | ~(rise | up), up & rise
+        ups[after], downs[after] = up_out, down_out
+        ups[low], downs[low] = 1, 0
+        if s % LOOK or s < 2 * LOOK or s >= columns - 1:
+            continue
+        # the value on the diagonal of the last cell never falls; a word is at column s + 1 - its number
+        at, k = s - apart, np.arange(len(lanes))
+        w = np.clip(at // 65, low, high)
+        steps = risen(here) - (ups[after].astype(np.int64) - downs[after].astype(np.int64))
+        tops = np.concatenate([np.zeros((1, len(lanes)), np.int64), np.cumsum(steps, axis=0)])[w - low, k] + risen(slice(0, low)).sum(0) + s - low + 1
+        seen = (at // 65 == w) & (at % 65 < 64)
+        keep = np.flatnonzero(~seen | (tops + down_to(w, np.clip(at % 65 + 1, 1, 64)) <= most))
+        if len(keep) == 0:
+            return out
+        if len(keep) <= 0.8 * len(lanes):
+            lanes, apart, most, column = lanes[keep], apart[keep], most[keep], column[:, keep]
+            plus, minus, ups, downs = plus[:, keep], minus[:, keep], ups[:, keep], downs[:, keep]
+    end = columns - apart  # the row of the last cell
+    total = columns + np.where(64 * words_of + 64 <= end, risen(slice(0, words)), 0).sum(0)
+    total += np.where(end % 64 > 0, down_to(np.minimum(end // 64, words - 1), np.maximum(end % 64, 1)), 0)
+    out[lanes] = np.minimum(total, most + 1)
     return out
 
 
+#: What is not a symbol by itself.
+_SHARED = re.compile("[^a-z0-9 ]")
+
+
 def within(a: list[str], b: list[str], share: float) -> list[bool]:
     """Whether the distance of each two texts is at most ``share`` of the longer one's length.
 
-    Most unlike texts are refused by lower bounds, for many pairs at a time; what is left is
-    aligned, and compared by characters if that does not accept it.
+    Most unlike texts are refused by a lower bound. Of the others those that seem near are aligned;
+    what that does not accept is compared by symbols, many pairs at a time, and by characters if
+    they may share symbols.
     """
-    out, asked = [], []
-    for k, (x, y) in enumerate(zip(a, b, strict=True)):
-        most = int(share * max(len(x), len(y)) + 1e-9)
-        if abs(len(x) - len(y)) > most:
-            out.append(False)
+    most = [int(share * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b, strict=True)]
+    out, asked = [False] * len(most), []
+    fit = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if abs(len(x) - len(y)) <= most[k]]
+    for k, least in zip(fit, least_distances([a[k] for k in fit], [b[k] for k in fit]).tolist(), strict=True):
+        if least > most[k]:
             continue
-        x, y = trimmed(x, y) if len(x) <= len(y) else trimmed(y, x)
-        out.append(len(y) <= most)  # the longer one; more edits are never needed
-        if not out[-1]:
-            asked.append((k, x, y, most))
-    bounded = sorted((p for p in asked if p[1] and len(p[2]) <= LONGEST), key=lambda p: len(p[2]))
-    left = [p for p in asked if not p[1] or len(p[2]) > LONGEST]
+        x, y = trimmed(a[k], b[k]) if len(a[k]) <= len(b[k]) else trimmed(b[k], a[k])
+        if len(y) <= most[k] or 2 * least <= most[k] and aligned(x, y, most[k]):  # more edits than the longer one has are never needed
+            out[k] = True
+        elif x:
+            asked.append((k, x, y, most[k]))
+    bounded = sorted((p for p in asked if len(p[2]) <= LONGEST), key=lambda p: len(p[2]))
+    left = [p for p in asked if len(p[2]) > LONGEST]
     while bounded:
-        many = min(TOGETHER, TOGETHER_CHARS // len(bounded[-1][2]))  # the last one is the longest
+        many = TOGETHER_CHARS // len(bounded[-1][2])  # the last one is the longest
         some = bounded[-many:]
         del bounded[-many:]
-        for bound in (least_distances, symbol_distances):
-            some = [p for p, d in zip(some, bound([p[1] for p in some], [p[2] for p in some]).tolist(), strict=True) if d <= p[3]] if some else some
-        left += some
-    for k, x, y, most in left:
-        out[k] = aligned(x, y, most) or distance(x, y, most) <= most
+        if len(some) < ABREAST:
+            left += some
+            continue
+        _, x, y, least = zip(*some, strict=True)
+        for p, d in zip(some, symbol_distances(x, y, least).tolist(), strict=True):
+            if d <= p[3]:
+                out[p[0]] = not _SHARED.search(p[1]) and not _SHARED.search(p[2])
+                left += [] if out[p[0]] else [p]
+    for k, x, y, most_of in left:
+        out[k] = distance(x, y, most_of) <= most_of
     return out

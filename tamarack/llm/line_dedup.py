@@ -124,16 +124,13 @@ def block_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes, size, owner = _words(lines)
     n = np.bincount(owner, minlength=len(lines))
     dealt = hashes * _ODD
+    order = np.argsort(owner.astype(_U) << _U(44) | dealt >> _U(20))  # once, so that the words of each block are beside each other
+    owner, dealt = owner[order], dealt[order]
+    first = np.flatnonzero(np.r_[True, (dealt[1:] != dealt[:-1]) | (owner[1:] != owner[:-1])][: len(owner)])
+    times, order = np.diff(np.r_[first, len(owner)]), order[first]
+    owner, dealt, hashes, size = owner[first], dealt[first], hashes[order], size[order]  # the different words of each line
     who, keys, bits_of = [], [], []
 
-    def distinct(at: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the used words, which are at the given places: place, hash and bytes of each once."""
-        h, z = hashes[used], size[used]
-        order = np.lexsort((h, at))
-        at, h, z = at[order], h[order], z[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (at[1:] != at[:-1])][: len(at)]
-        return at[new], h[new], z[new]
-
     step = np.floor(np.log2(np.maximum(n, 1) / GROUP_WORDS)).astype(np.int64)
     near = np.floor(np.log2(np.maximum(n, 1) / 0.8 / GROUP_WORDS)).astype(np.int64)
     lowest = int(np.log2(LONG / GROUP_WORDS))
@@ -145,8 +142,8 @@ def block_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         end = np.where(level > lowest, _U(BLOCKS) << shift, np.where(level > 0, ~_U(0), _U(0)))  # of the words of the first BLOCKS groups
         used = np.flatnonzero(dealt < end[owner])
         its = owner[used]
-        at, features, length = distinct(row[its] * BLOCKS + (dealt[used] >> shift[its]).astype(np.int64), used)
-        where, bits, wholes, sketch = sim_hash(at, features, np.arange(len(mine) * BLOCKS) // BLOCKS)
+        at, length = row[its] * BLOCKS + (dealt[used] >> shift[its]).astype(np.int64), size[used]
+        where, bits, wholes, sketch = sim_hash(at, hashes[used], np.arange(len(mine) * BLOCKS) // BLOCKS)
         table, drawn = np.zeros((len(mine), BLOCKS), _U), np.zeros(len(mine), _U)
         table.ravel()[where], drawn[wholes] = bits, sketch
         held = np.bincount(at, length, len(mine) * BLOCKS).reshape(-1, BLOCKS)
@@ -164,9 +161,9 @@ def block_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     row = np.full(len(lines), -1)
     row[mine] = np.arange(len(mine))
     used = np.flatnonzero(row[owner] >= 0)
-    at, features, length = distinct(row[owner[used]] * SHORT_BLOCKS + (dealt[used] >> _U(62)).astype(np.int64), used)
+    at, length = row[owner[used]] * SHORT_BLOCKS + (dealt[used] >> _U(62)).astype(np.int64), size[used]
     table, drawn = np.zeros((len(mine), SHORT_BLOCKS), _U), np.zeros(len(mine), _U)
-    where, bits, wholes, sketch = sim_hash(at, features, np.arange(table.size) // SHORT_BLOCKS)
+    where, bits, wholes, sketch = sim_hash(at, hashes[used], np.arange(table.size) // SHORT_BLOCKS)
     table.ravel()[where], drawn[wholes] = bits, sketch
     for ok, made in _pairs(table, np.bincount(at, length, table.size).reshape(table.shape), THIN_PAIR, 1 << 12):
         who.append(mine[ok])
@@ -188,10 +185,7 @@ def block_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             bits_of.append(np.zeros(len(ok), _U))
 
     used = np.flatnonzero(n[owner] >= LONG)
-    order = used[np.lexsort((hashes[used], owner[used]))]
-    h, o = hashes[order], owner[order]
-    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])][: len(o)])
-    times, h, o = np.diff(np.r_[first, len(o)]), h[first], o[first]
+    times, h, o = times[used], hashes[used], owner[used]
     ruling = (np.bincount(o, minlength=len(lines)) <= RULED * n)[o] & (times >= RULING * n[o])
     total = np.zeros(len(lines), _U)
     np.add.at(total, o[ruling], mix(h[ruling]))

@@ -80,6 +80,36 @@ def test_bounds_of_many_pairs():
         assert (least_distances(a, b) <= want).all() and least_distances(a, b).max() > 10
 
 
+def test_distances_up_to_a_bound():
+    """Exact up to what each pair may have, above it beyond; repetitive texts of thousands of characters too, and as a lower bound where symbols are shared."""
+    rng = random.Random(12)
+    a, b = [], []
+    for k in range(400):
+        words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 8))) for _ in range(rng.choice([2, 30, 200]))]
+        x = " ".join(rng.choices(words, k=rng.choice([2, 12, 40, 90])))
+        y = [("" if rng.random() < 0.3 else rng.choice("abcdefgh ")) if rng.random() < rng.choice([0.02, 0.2, 0.25]) else c for c in x]
+        a.append(x)
+        b.append("".join(y) if k % 4 else " ".join(rng.choices(words, k=x.count(" ") + 1)) or "a")
+        b[-1] = b[-1] or "a"
+    want = np.array([distance(x, y, max(len(x), len(y))) for x, y in zip(a, b, strict=True)])
+    longer = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)])
+    for share in (0, 0.05, 0.2, 0.6):
+        most = (share * longer).astype(int)
+        got = symbol_distances(a, b, most)
+        assert (got[want <= most] == want[want <= most]).all() and (got[want > most] > most[want > most]).all()
+    long = [" ".join(rng.choices("abcdefgh", k=4)) + " " for _ in range(60)]
+    a, b = [x * 400 for x in long], [x * 380 for x in long[1:]] + [long[0] * 390]
+    assert (least_distances(a, b) > [0.2 * len(x) for x in a]).sum() > 40  # without a look at the diagonal
+    assert within(a, b, 0.2) == [distance(x, y, len(x) // 5) <= len(x) // 5 for x, y in zip(a, b, strict=True)]
+    assert within(["é漢 " * 90] * 40, ["é汉 " * 90] * 40, 0.2) == [False] * 40
+
+
+def test_keys_of_a_word_that_repeats():
+    """Words that are set apart once keep each line's different words: order and repeats do not count below the ruling share."""
+    words = [f"w{k}" for k in range(40)]
+    assert {k for k in keys_of([" ".join(words).encode()])[0]} == {k for k in keys_of([" ".join(words[::-1]).encode()])[0]}
+
+
 def test_normalise_and_sim_hash():
     for text in ("", " ", "\n", " \n a \n\n  b\t\tc ", "x  y \r\n  \r\n.", "Ⅳ İ\x1c\x85z\u2028w\x0bq"):
         assert L.normalise(text) == [b" ".join(x.split()) for x in text.lower().encode().translate(L._PLAIN).split(b"\n")]
