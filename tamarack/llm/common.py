@@ -176,6 +176,14 @@ def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], most: int = 4 * BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about so many bytes at most, or of one larger row: what is made of a batch is held beside it."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * most // max(batch.get_total_buffer_size(), 1))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def strings(column: pa.Array) -> list[str]:
     """The texts of a column, null as the empty text."""
     return [x or "" for x in column.to_pylist()]

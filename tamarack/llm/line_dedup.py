@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tamarack.llm.common import BLOCK_CHARS, Scratch, blocks, free_names, keys_for_join, map_arrow, row_key, strings
+from tamarack.llm.common import BLOCK_CHARS, Scratch, blocks, free_names, keys_for_join, map_arrow, pieces, row_key, strings
 from tamarack.llm.edit import within
 from tamarack.llm.linking import SMALL, Tile, link, shared_members, tiled
 from tamarack.llm.near_duplicates import mix
@@ -34,6 +34,8 @@ RULING, RULED = 1 / 8, 0.4
 MOST_BITS = 18
 #: A lane of 8 bits counts at most so many words.
 LANE = 255
+#: Keys are computed of lines of so many characters at a time, and of less than 2 ** 20 lines.
+KEYED_CHARS = BLOCK_CHARS // 4
 #: A line in a tile is compared with so many at first; of the pairs of all lines, so many at a time.
 FIRST, ASKED = 16, 2048
 
@@ -204,12 +206,12 @@ def _lines(keyed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in pieces(batches):
             rows, ids, texts = batch.column(0).to_pylist(), batch.column(1), strings(batch.column(2))
             for a, b in blocks(texts):
                 found = [(k, n, line) for k in range(a, b) for n, line in enumerate(normalise(texts[k])) if line]
                 forms = [x[2] for x in found]
-                for c, d in blocks(forms, BLOCK_CHARS):
+                for c, d in blocks(forms, KEYED_CHARS):
                     who, keys, bits = block_keys(forms[c:d])
                     order = np.argsort(who, kind="stable")
                     ends = pa.array(np.r_[0, np.cumsum(np.bincount(who, minlength=d - c))], pa.int32())
@@ -339,7 +341,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts, counts, lost = [], [], []
             for text, numbers, copy in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
                 counted = {k for k, line in enumerate((text or "").encode().lower().translate(_PLAIN).split(b"\n")) if line and not line.isspace()}

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import BLOCK_CHARS, Scratch, fit_in_task, free_names, labelled_texts, map_arrow, sample_labels, strings, up_to
+from tamarack.llm.common import BLOCK_CHARS, Scratch, fit_in_task, free_names, labelled_texts, map_arrow, pieces, sample_labels, strings, up_to
 
 #: Characters that count as symbols (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
@@ -242,7 +242,7 @@ def apply(docs: DataFrame, model: Model | None, *, text_col: str = "text", colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             texts, out = strings(batch.column(batch.num_columns - 1)), []
             for text in texts:
                 hashes = word_hashes(text)

@@ -2,12 +2,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tamarack.llm import line_dedup as L
 from tamarack.llm import linking
+from tamarack.llm.common import pieces
 from tamarack.llm.edit import aligned, distance, least_distances, symbol_distances, within
 
 SCHEMA = "doc_id long, text string, line int, n string"
@@ -317,3 +319,13 @@ def test_open_large_groups_lose_no_link(spark, monkeypatch, part):
     assert single_key_links(lines) > 3 and max(Counter(k for x in keys_of([x.encode() for x in lines]) for k in x).values()) > L.SMALL
     got = L.dedup_lines(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA).withColumnRenamed("n", "m")).collect()
     assert {r.doc_id for r in got if not r.n_removed} == {d for v in kept.values() for d, _ in v}
+
+
+def test_pieces_of_batches():
+    """All rows in their order, in batches of bounded bytes; a larger row is alone, an empty batch gives none."""
+    texts = ["x" * n for n in (10, 0, 5000, 20, 9000)] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"])
+    got = list(pieces(iter([batch, batch.slice(0, 0)]), 30_000))
+    assert [t for b in got for t in b.column(1).to_pylist()] == texts and all(sum(map(len, b.column(1).to_pylist())) <= 60_000 for b in got)
+    assert len(got) > 10 and [b.num_rows for b in pieces(iter([batch]), 1)] == [1] * len(texts)
+    assert max(b.num_rows for b in pieces(iter([batch]))) == len(texts)
