@@ -46,17 +46,18 @@ _PLAIN = bytes(b if b == 10 or b >= 128 or chr(b).isalnum() else 32 for b in ran
 _ALIKE = bytes(48 if 48 <= b < 58 else b for b in range(256))
 
 
-def normalise(text: str) -> list[bytes]:
-    """Each line in lower case, ASCII marks and white space as single spaces; lines are as many as ``\\n``-split ones."""
-    data = text.lower().encode().translate(_PLAIN)
-    while b"  " in data:
-        data = data.replace(b"  ", b" ")
-    return data.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ").split(b"\n")
+def normalise(*texts: str) -> list[bytes]:
+    """Each line of the texts in turn, in lower case, ASCII marks and white space as single spaces; lines are as many as ``\\n``-split ones."""
+    codes = np.frombuffer(b"\n".join([b"", *[text.lower().encode() for text in texts], b""]).translate(_PLAIN), np.uint8)
+    space = codes == 32
+    codes = codes[np.r_[True, ~(space[1:-1] & (codes[2:] <= 32)), True]]  # the last space of each run is left, unless a line ends there
+    codes = codes[np.r_[True, ~((codes[1:-1] == 32) & (codes[:-2] == 10)), True]]
+    return codes[1:-1].tobytes().split(b"\n")
 
 
 @functools.lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number and of its inverse, modulo 2 ** 64; kept for the next block, so ``n`` is a round number."""
+    """The first n powers of an odd number and of its inverse, modulo 2 ** 64; kept for the next block, so ``n`` is a round number that most blocks share."""
     base = 0x9E3779B97F4A7C15
     return tuple(np.concatenate([np.ones(1, _U), np.cumprod(np.full(n - 1, x, _U))]) for x in (base, pow(base, -1, 2**64)))
 
@@ -69,8 +70,9 @@ def _words(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end, line = gaps[:-1] + 1, gaps[1:], np.cumsum(codes[gaps[:-1]] == 10) - 1
     some = end > start
     start, end, line = start[some], end[some], line[some]
-    power, inverse = (x[: len(codes)] for x in _powers(1 << (len(codes) - 1).bit_length()))
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(codes * power)])
+    power, inverse = (x[: len(codes)] for x in _powers(max(4 * KEYED_CHARS, 1 << (len(codes) - 1).bit_length())))
+    sums = np.zeros(len(codes) + 1, _U)
+    np.cumsum(codes * power, out=sums[1:])
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(_U)), end - start, line
 
 
@@ -79,27 +81,30 @@ def sim_hash(group: np.ndarray, hashes: np.ndarray, whole: np.ndarray | None = N
 
     Bits are summed eight at a time, in the byte lanes of 64-bit integers. With ``whole``, a rising
     number for each group number, also the sorted different wholes and the SimHash of each over
-    its groups together.
+    its groups together, which are at most LANE and summed in lanes of 16 bits.
     """
-    order = np.argsort(group, kind="stable")
-    group, hashes = group[order], hashes[order]
+    if (group[1:] < group[:-1]).any():
+        order = np.argsort(group, kind="stable")
+        group, hashes = group[order], hashes[order]
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(group)])
     rank = np.arange(len(group)) - np.repeat(first, np.diff(np.r_[first, len(group)]))
     if len(rank) and rank.max() >= LANE:
         group, hashes = group[rank < LANE], hashes[rank < LANE]
         first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     size, which = np.diff(np.r_[first, len(group)]), group[first]
-    wholes = np.unique(whole[which]) if whole is not None else which[:0]
+    wholes = whole[which] if whole is not None else which[:0]
+    wholes = wholes[np.r_[True, wholes[1:] != wholes[:-1]][: len(wholes)]]
     out, totals, counts = np.empty(len(first), np.uint64), np.zeros((len(wholes), 64), np.int32), np.zeros(len(wholes), np.int64)
     for at in range(0, len(first), 1 << 12):
         starts, mine = first[at : at + (1 << 12)], slice(at, at + (1 << 12))
         lanes = np.unpackbits(mix(hashes[starts[0] : starts[-1] + size[mine][-1]]).view(np.uint8)).view(np.uint64).reshape(-1, 8)
         sums = np.add.reduceat(lanes, starts - starts[0], axis=0).view(np.uint8)
-        out[mine] = np.packbits(2 * sums.astype(np.uint16) > size[mine, None], axis=1).view(np.uint64)[:, 0]
+        out[mine] = np.packbits(sums > (size[mine, None] // 2).astype(np.uint8), axis=1).view(np.uint64)[:, 0]
         if whole is not None:
-            owners, begins = np.unique(whole[which[mine]], return_index=True)
-            k = np.searchsorted(wholes, owners)
-            totals[k] += np.add.reduceat(sums, begins, axis=0, dtype=np.int32)
+            owners = whole[which[mine]]
+            begins = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
+            k = np.searchsorted(wholes, owners[begins])
+            totals[k] += np.add.reduceat(sums.astype(np.uint16).view(np.uint64), begins, axis=0).view(np.uint16)
             counts[k] += np.add.reduceat(size[mine], begins)
     if whole is None:
         return which, out
@@ -149,11 +154,12 @@ def block_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         table, drawn = np.zeros((len(mine), BLOCKS), _U), np.zeros(len(mine), _U)
         table.ravel()[where], drawn[wholes] = bits, sketch
         held = np.bincount(at, length, len(mine) * BLOCKS).reshape(-1, BLOCKS)
-        made, have = mix(table ^ mix(np.arange(1, BLOCKS + 1, dtype=_U) + _U(16) * level[mine][:, None].astype(_U))), held.copy()
+        made, have = mix(table ^ mix(np.arange(1, BLOCKS + 1, dtype=_U) + _U(16) * level[mine][:, None].astype(_U))), held.ravel().copy()
         for k in range(1, BLOCKS):
-            thin = have < THIN
-            made = np.where(thin, mix(made ^ mix(np.roll(table, -k, 1) + _U(k))), made)
-            have = np.where(thin, have + np.roll(held, -k, 1), have)
+            thin = np.flatnonzero(have < THIN)
+            behind = thin - thin % BLOCKS + (thin + k) % BLOCKS
+            made.ravel()[thin] = mix(made.ravel()[thin] ^ mix(table.ravel()[behind] + _U(k)))
+            have[thin] += held.ravel()[behind]
         filled = np.nonzero(held)[0]
         who.append(mine[filled])
         keys.append(made[held > 0])
@@ -209,7 +215,8 @@ def _lines(keyed: DataFrame) -> DataFrame:
         for batch in pieces(batches):
             rows, ids, texts = batch.column(0).to_pylist(), batch.column(1), strings(batch.column(2))
             for a, b in blocks(texts):
-                found = [(k, n, line) for k in range(a, b) for n, line in enumerate(normalise(texts[k])) if line]
+                every = iter(normalise(*texts[a:b]))
+                found = [(k, n, line) for k in range(a, b) for n, line in enumerate(itertools.islice(every, texts[k].count("\n") + 1)) if line]
                 forms = [x[2] for x in found]
                 for c, d in blocks(forms, KEYED_CHARS):
                     who, keys, bits = block_keys(forms[c:d])
@@ -300,6 +307,29 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> t
     return gone, repeated
 
 
+#: Which bytes make a line one that counts; that the line has one is seen from so many first ones, if not from all.
+_COUNTS, SEEN = np.array([b > 32 for b in _PLAIN]), 16
+
+
+def count_lines(texts: pa.Array) -> np.ndarray:
+    """How many lines of each text have a letter or digit, from the bytes of all texts at once; null counts as the empty text."""
+    coded = texts.fill_null("").cast(pa.large_binary())
+    ends = np.frombuffer(coded.buffers()[1], np.int64)[coded.offset : coded.offset + len(coded) + 1]
+    codes = np.frombuffer(coded.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    if len(codes) == 0:
+        return np.zeros(len(texts), np.int64)
+    starts = np.sort(np.r_[ends[:-1], np.flatnonzero(codes == 10) + 1])
+    starts = starts[np.r_[True, starts[1:] != starts[:-1]] & (starts < len(codes))]  # an empty line at the end is none
+    some, left, stops = np.zeros(len(starts), bool), np.arange(len(starts)), np.r_[starts[1:], len(codes)]
+    for k in range(SEEN):
+        some[left] = _COUNTS[codes[starts[left] + k]]
+        left = left[~some[left] & (starts[left] + k + 1 < stops[left])]
+    for k in left.tolist():
+        some[k] = _COUNTS[codes[starts[k] + SEEN : stops[k]]].any()
+    return np.bincount(np.searchsorted(ends, starts[some], side="right") - 1, minlength=len(texts))
+
+
 #: The lines to be removed are sent to every task up to so many rows with so many lines.
 BROADCAST_ROWS, BROADCAST_LINES = 200_000, 2_000_000
 
@@ -342,15 +372,16 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            texts, counts, lost = [], [], []
-            for text, numbers, copy in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
-                counted = {k for k, line in enumerate((text or "").encode().lower().translate(_PLAIN).split(b"\n")) if line and not line.isspace()}
-                out = counted if copy else set(numbers or ())
-                texts.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in out) if out else text)
-                counts.append(len(counted))
-                lost.append(len(out))
-            columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns[: len(names)])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(lost, pa.int64())], names=[*names, *added])
+            numbers, copy = batch.column(len(names)), batch.column(len(names) + 1)
+            counts, lost = count_lines(batch.column(at)), np.zeros(len(batch), np.int64)
+            met = pa.compute.or_(numbers.is_valid(), copy)  # the texts of all others stay where they are
+            texts = []
+            for k, text, gone, again in zip(np.flatnonzero(met.to_numpy(zero_copy_only=False)).tolist(), *[c.filter(met).to_pylist() for c in (batch.column(at), numbers, copy)], strict=True):
+                out = {n for n, line in enumerate(normalise(text or "")) if line} if again else set(gone)
+                texts.append("\n".join(x for n, x in enumerate(text.split("\n")) if n not in out) if out else text)
+                lost[k] = len(out)
+            columns = [pa.compute.replace_with_mask(c, met, pa.array(texts, c.type)) if k == at else c for k, c in enumerate(batch.columns[: len(names)])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), pa.array(lost)], names=[*names, *added])
 
     schema = StructType([*docs.schema.fields, *[StructField(n, LongType()) for n in added]])
     return map_arrow(placed.select(*names, "\x01gone", "\x01copy"), run, schema)

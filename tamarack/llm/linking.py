@@ -27,14 +27,12 @@ def shared_members(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     goes with each key); rows of one node may repeat. Whether a key is shared is found from fixed-width numbers, which are
     aggregated before the shuffle.
     """
-    if "bits" in nodes.columns:
-        rows = nodes.select(F.explode(F.arrays_zip("keys", "bits")).alias("k"), "node", "size").select("k.keys", "node", "size", "k.bits").toDF("key", "node", "size", "bits")
-    else:
-        rows = nodes.select(F.explode("keys").alias("key"), "node", "size", F.lit(0).cast("long").alias("bits"))
-    mark = F.xxhash64("node")
-    shared = rows.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low != high").select("key")
+    marked = nodes.select("keys", F.xxhash64("node").alias("mark")).select(F.explode("keys").alias("key"), "mark")
+    shared = marked.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low != high").select("key")
     shared = scratch.cut(shared, "shared")
-    members = scratch.cut(rows.join(keys_for_join(shared), "key").select("key", "node", "size", "bits").distinct(), "members")
+    bits = F.expr("bits[place]") if "bits" in nodes.columns else F.lit(0).cast("long")  # of shared keys only
+    rows = nodes.select("*", F.posexplode("keys").alias("place", "key"))
+    members = scratch.cut(rows.join(keys_for_join(shared), "key").select("key", "node", "size", bits.alias("bits")).distinct(), "members")
     scratch.drop(shared)
     return members
 

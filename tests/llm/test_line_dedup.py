@@ -130,6 +130,34 @@ def test_normalise_and_sim_hash():
     assert len(L.sim_hash(group[:0], hashes[:0])[1]) == 0
 
 
+def test_texts_together_and_powers_kept():
+    """Lines of several texts are those of each, and blocks of different sizes share the powers that word hashes are made of."""
+    texts = ["a  b,\n\n c ", "", " \n", "x", "Σ ΑΣ\n.. d.", "\n"]
+    assert L.normalise(*texts) == [line for text in texts for line in L.normalise(text)]
+    L._powers.cache_clear()
+    for n in (3, 3000, 40, 20_000, 3):
+        L.block_keys([b"some words of a line"] * n)
+    assert L._powers.cache_info().misses == 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text("a\n .-\ré漢1", max_size=40), max_size=6), st.integers(0, 3))
+def test_count_lines(texts, skipped):
+    want = [sum(map(bool, L.normalise(text or ""))) for text in texts]
+    assert L.count_lines(pa.array(texts, pa.string())[skipped:]).tolist() == want[skipped:]
+
+
+def test_members_have_the_bits_of_their_keys(spark):
+    """Also where keys of a node are not shared, or shared by copies of the node only."""
+    rows = [(b"a", 5, [1, 2, 3], [10, 20, 30]), (b"a", 5, [1, 2, 3], [10, 20, 30]), (b"b", 6, [9, 3, 4], [0, 31, 0]), (b"c", 7, [], []), (b"d", 8, [4, 7], [41, 71])]
+    scratch = linking.Scratch(spark, "members")
+    nodes = scratch.cut(spark.createDataFrame(rows, "node binary, size int, keys array<long>, bits array<long>"), "nodes")
+    found = linking.shared_members(nodes, scratch)
+    assert found.columns == ["key", "node", "size", "bits"]
+    assert sorted((r.key, bytes(r.node), r.size, r.bits) for r in found.collect()) == [(3, b"a", 5, 30), (3, b"b", 6, 31), (4, b"b", 6, 0), (4, b"d", 8, 41)]
+    assert {r.bits for r in linking.shared_members(nodes.drop("bits"), scratch).collect()} == {0}
+
+
 def keys_of(lines):
     """Key -> bits, of each line."""
     found = [{} for _ in lines]
